@@ -69,11 +69,15 @@ def _boundary(r, b, vol, t):
     return beta, trigger
 
 
-def _settle(unit, m, live):
-    """Non-finite approximations fall back to zero; never below intrinsic."""
+def _settle(unit, m, live, american):
+    """Expired options are worth intrinsic, American ones never less than it.
+
+    An approximation that is not finite counts as zero.
+    """
     intrinsic = np.maximum(m - 1.0, 0.0)
-    unit = np.where(np.isfinite(unit), unit, 0.0)
-    return np.where(live, np.maximum(unit, intrinsic), intrinsic)
+    if american:
+        unit = np.maximum(np.where(np.isfinite(unit), unit, 0.0), intrinsic)
+    return np.where(live, unit, intrinsic)
 
 
 def _european_unit(m, c: _Carry, pick):
@@ -159,7 +163,7 @@ def reprice(spot, strike, rate, div_yield, is_call, vol, t, pick, american=True)
                     price = _american_unit(m, r_star, b_star, v, tt, c, pick)
                 else:
                     price = _european_unit(m, c, pick)
-                out[idx] = unit * _settle(price, m, c.live[:, pick])
+                out[idx] = unit * _settle(price, m, c.live[:, pick], american)
     return out
 
 
