@@ -21,6 +21,7 @@ from ..streaming.drop import drop_ingest
 from . import sql as Q
 from .book import BATCH_DATE, GRID, batch, book, table
 from .common import rounded
+from .pivot_queries import RULES
 from .raw_export import MAPPED, MAPPED_COLUMNS, NUMBER, RAW, profile, raw_export
 
 CTX = MappingContext(BATCH_DATE, ("Row Id", "Acct No", "Ticker", "Side", "Quantity"))
@@ -391,18 +392,21 @@ S_QUARANTINE = """SELECT 'ACME' AS firm_id, 'bad_price' AS reason, count(*) AS l
 
 
 def q_stream_drop_ingest(spark, d):
-    """The export dropped as one file per desk, ingested by a stream with alerts."""
+    """The export dropped as one file per product, ingested by a stream with alerts."""
     folder = fresh_path(spark, "drop")
     work = Workspace(fresh_path(spark, "work"))
-    raw = raw_export(spark, d).withColumn("__desk", F.col("Desk"))
-    raw.repartition("__desk").write.partitionBy("__desk").option("header", True).csv(folder)
+    raw = raw_export(spark, d).withColumn("__p", F.col("Product"))
+    raw.repartition("__p").write.partitionBy("__p").option("header", True).csv(folder)
     query = drop_ingest(spark, f"{folder}/*", work, profile(), BATCH_DATE,
-                        fresh_path(spark, "offsets"), pattern="*.csv")
+                        fresh_path(spark, "offsets"), rules=RULES)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    runs = read_table(spark, work.table("runs"), RUNS)
-    return runs.select("status", "rows")
+    return read_table(spark, work.table("runs"), RUNS).select("status", "rows", "error")
+
+
+S_STREAM_DROP_INGEST = Q.with_book("""SELECT 'succeeded' AS status, count(*) AS "rows", '' AS error
+FROM book GROUP BY sector""")
 
 
 # -- batch store --------------------------------------------------------------
@@ -549,7 +553,7 @@ QUERIES = {
     "dq_accounts": (q_dq_accounts, S_DQ_ACCOUNTS),
     "ingest_gate": (q_ingest_gate, S_INGEST_GATE),
     "quarantine": (q_quarantine, S_QUARANTINE),
-    "stream_drop_ingest": (q_stream_drop_ingest, None),
+    "stream_drop_ingest": (q_stream_drop_ingest, S_STREAM_DROP_INGEST),
     "raw_book": (q_raw_book, S_RAW_BOOK),
     "cold_positions": (q_cold_positions, S_COLD_POSITIONS),
     "load_batch": (q_load_batch, S_LOAD_BATCH),

@@ -12,6 +12,7 @@ from ..operators.ingest import Workspace, ingest_file
 from ..operators.mapping import Profile
 
 FILES_PER_TRIGGER = 10
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def arrivals(spark: SparkSession, folder: str, pattern: str = "*",
@@ -21,8 +22,9 @@ def arrivals(spark: SparkSession, folder: str, pattern: str = "*",
     Only paths are selected, so contents are not read here.
     """
     reader = (
-        spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", limit).option("latestFirst", "false")
+        spark.readStream.format("binaryFile").schema(_FILE)
+        .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", limit)
+        .option("latestFirst", "false")
     )
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
