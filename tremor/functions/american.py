@@ -69,15 +69,14 @@ def _boundary(r, b, vol, t):
     return beta, trigger
 
 
-def _settle(unit, m, live, american):
-    """Expired options are worth intrinsic, American ones never less than it.
+def _settle(price, payoff, live, american):
+    """Expired options are worth their payoff, American ones never less than it.
 
     An approximation that is not finite counts as zero.
     """
-    intrinsic = np.maximum(m - 1.0, 0.0)
     if american:
-        unit = np.maximum(np.where(np.isfinite(unit), unit, 0.0), intrinsic)
-    return np.where(live, unit, intrinsic)
+        price = np.maximum(np.where(np.isfinite(price), price, 0.0), payoff)
+    return np.where(live, price, payoff)
 
 
 def _european_unit(m, c: _Carry, pick):
@@ -163,7 +162,8 @@ def reprice(spot, strike, rate, div_yield, is_call, vol, t, pick, american=True)
                     price = _american_unit(m, r_star, b_star, v, tt, c, pick)
                 else:
                     price = _european_unit(m, c, pick)
-                out[idx] = unit * _settle(price, m, c.live[:, pick], american)
+                payoff = np.maximum(np.where(call_i, s - k, k - s), 0.0)
+                out[idx] = _settle(unit * price, payoff, c.live[:, pick], american)
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import as_text
 from .filters import where_all
 from .pivot import (PivotRequest, aggregated, detail_cells, join_on_keys, narrowed,
-                    scenario_columns, split_filters, worst_of)
+                    scenario_columns, split_filters, sums_of, worst_of)
 
 MAX_ROWS = 500
 
@@ -86,7 +86,7 @@ def _without_details(request: PivotRequest) -> PivotRequest:
 
 def _folded(finest: DataFrame, path, sums, scenarios) -> DataFrame:
     rows = finest.groupBy(*path).agg(
-        F.sum("positions").alias("positions"), *[F.sum(c).alias(c) for c in sums])
+        F.sum("positions").alias("positions"), *sums_of(sums))
     return rows.withColumn("worst", worst_of(scenarios)) if scenarios else rows
 
 

@@ -156,9 +156,11 @@ def scenario_pnl(df: DataFrame, grid: ScenarioGrid, horizon_days: float = 1.0,
     _require(df)
     keep = df.columns
     values = _matrix(df, grid, horizon_days, model, "mark" in keep)
-    return df.withColumn("__m", values).select(
-        *keep, *[F.col("__m")[i + 1].alias(column_of(i)) for i in range(len(grid))]
-    )
+    return df.withColumn("__m", values).select(*keep, *_scenarios(grid))
+
+
+def _scenarios(grid: ScenarioGrid) -> list[Column]:
+    return [F.expr(f"__m[{i + 1}] AS {column_of(i)}") for i in range(len(grid))]
 
 
 def value_batch(df: DataFrame, grid: ScenarioGrid, horizon_days: float = 1.0,
@@ -171,11 +173,8 @@ def value_batch(df: DataFrame, grid: ScenarioGrid, horizon_days: float = 1.0,
     keep = [c for c in df.columns if c not in DERIVED]
     priced = df.select(*keep).withColumn("__m", _matrix(df, grid, horizon_days, model, False))
     priced = priced.withColumn("mark", F.col("__m")[0])
-    scen = [column_of(i) for i in range(len(grid))]
     priced = _in_position_terms(_greek_columns(priced))
-    return priced.select(
-        *keep, *DERIVED, *[F.col("__m")[i + 1].alias(c) for i, c in enumerate(scen)]
-    )
+    return priced.select(*keep, *DERIVED, *_scenarios(grid))
 
 
 def european_pnl_long(df: DataFrame, grid: ScenarioGrid, horizon_days: float = 1.0) -> DataFrame:

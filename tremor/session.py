@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+# What a job or its analysis may raise: some executor errors arrive unconverted.
+SPARK_ERRORS = (PySparkException, Py4JJavaError)
 # A side is broadcast on request only below this many rows.
 BROADCAST_ROWS = 100_000
 

@@ -46,7 +46,10 @@ def _paths(path) -> list[str]:
 
 def _after_preamble(spark: SparkSession, path, skip: int, csv: dict) -> DataFrame:
     """Drop the first lines of every file; the next one is the header."""
-    text = spark.read.option("encoding", csv["encoding"]).text(_paths(path))
+    text = spark.read.text(_paths(path))
+    if csv["encoding"] != "UTF-8":
+        # The line reader keeps bytes as they are.
+        text = text.select(F.decode(F.col("value").cast("binary"), csv["encoding"]).alias("value"))
     lines = with_position_id(text, "__line", per_file=True)
     header = lines.where(F.col("__line") == skip).select("value").first()
     if header is None:
