@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from ..session import BROADCAST_ROWS
 
 
+def _most_splits(df: DataFrame) -> int:
+    """Upper bound on the splits of a scan: per file, per split size, per core."""
+    session = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    size = session.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
+    if not size.isdigit():
+        return BROADCAST_ROWS + 1
+    cores = session.sparkContext.defaultParallelism
+    return len(df.inputFiles()) + total // int(size) + cores
+
+
 def with_position_id(df: DataFrame, out: str = "position_id",
                      per_file: bool = False) -> DataFrame:
     """Number the rows of a file scan 0..n-1 in file order, or per file.
@@ -33,8 +45,7 @@ def with_position_id(df: DataFrame, out: str = "position_id",
     offsets = splits.select(
         "__file", "__block",
         (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
-    # One row per split of the input, so the side has a known bound.
-    if len(df.inputFiles()) <= BROADCAST_ROWS // 100:
+    if _most_splits(df) <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     return tagged.join(offsets, ["__file", "__block"]).select(
         *keep, (F.col("__seq") + F.col("__shift")).alias(out))

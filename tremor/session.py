@@ -12,7 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 # What a job or its analysis may raise: some executor errors arrive unconverted.
 SPARK_ERRORS = (PySparkException, Py4JJavaError)
 # A side is broadcast on request only below this many rows.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 1_000_000
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the wide plans want; call it once per session.
+
+    The JVM does not compile methods above 8000 bytes of bytecode, so a fused
+    span beyond that runs interpreted.  Splitting such spans is about twice as fast.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
