@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
-from . import packing, token_file
+from . import decontaminate, exact_dedup, jaccard, packing, token_file
 from .common import table, tokenizer_path
 
 
@@ -18,8 +18,63 @@ def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0)
 
 
+def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_token_file": token_ids,
     "op3_best_fit_packing": best_fit,
+    "op4_exact_dedup": exact_groups,
+    "op7_jaccard_join": near_components,
+    "op10_decontamination": contamination,
 }
-SQL: dict[str, str] = {}
+
+EXACT_SQL = r"""
+with n as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents
+)
+select doc_id,
+       min(doc_id) over (partition by t) as keep_id,
+       count(*) over (partition by t) as group_size,
+       doc_id = min(doc_id) over (partition by t) as kept,
+       sha256(t) as text_sha256
+from n
+"""
+
+CONTAMINATION_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), iw as (
+  select distinct item_id, least(10, len(w)) as k, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as g
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)
+), lengths as (select distinct k from iw), dw as (
+  select doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') as g
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, lengths where len(w) >= k)
+), m as (select doc_id, item_id, i, k from dw join iw using (k, g)
+), hits as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from m) group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as names
+  from (select distinct doc_id, cast(item_id as varchar) as s from m) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (doc_id) left join named using (doc_id)
+"""
+
+SQL = {"op4_exact_dedup": EXACT_SQL, "op10_decontamination": CONTAMINATION_SQL}
