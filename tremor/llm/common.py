@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 # A task takes at most this many texts in hand at once, and closes a hand early at this many characters.
 HAND_ROWS = 256
 HAND_CHARS = 4_000_000
+# Parts of an array of counts that travel as rows of their own.
+CHUNKS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +66,27 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def chunked(counts: np.ndarray) -> dict[str, list]:
+    """Columns ``chunk`` and ``counts`` for a task's array of unsigned 32-bit counts."""
+    return {"chunk": list(range(CHUNKS)), "counts": [part.tobytes() for part in counts.astype("<u4").reshape(CHUNKS, -1)]}
+
+
+def added_up(made: DataFrame, size: int) -> np.ndarray:
+    """The sum of the chunked count arrays of all tasks: added up in tasks, only the sum comes to the driver."""
+    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                part = np.frombuffer(counts, dtype="<u4").astype(np.uint64)
+                sums[chunk] = sums[chunk] + part if chunk in sums else part
+        yield record(schema, chunk=list(sums), counts=[s.tobytes() for s in sums.values()])
+
+    total = np.zeros((CHUNKS, size // CHUNKS), dtype=np.uint64)
+    chunks = made.filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk")
+    for row in mapped(chunks, run, "chunk int, counts binary").collect():
+        total[row["chunk"]] += np.frombuffer(row["counts"], dtype=np.uint64)
+    return total.reshape(-1)

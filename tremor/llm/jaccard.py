@@ -32,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, written
-from .common import hands, mapped, record
+from .common import CHUNKS, added_up, chunked, hands, mapped, record
 from .components import components
 from .shingles import shingle_sets
 
 BUCKET_BITS = 20
-CHUNKS = 64
 # A shingle whose bucket exceeds both this and HOT_FACTOR times the mean is dealt to several tasks.
 HOT_ROWS = 20_000
 HOT_FACTOR = 8
@@ -76,31 +75,11 @@ def facts(docs: DataFrame, words: int) -> DataFrame:
                          key2=[k[1] for k in keys], chunk=nothing, counts=nothing)
         if counts.any():
             nothing = [None] * CHUNKS
-            yield record(_FACT_SCHEMA, doc_id=nothing, n=nothing, key1=nothing, key2=nothing, chunk=list(range(CHUNKS)),
-                         counts=[part.tobytes() for part in counts.reshape(CHUNKS, -1)])
+            yield record(_FACT_SCHEMA, doc_id=nothing, n=nothing, key1=nothing, key2=nothing, **chunked(counts))
 
     return mapped(docs.select("doc_id", "text"), run, _FACTS)
 
 
-def bucket_counts(made: DataFrame) -> np.ndarray:
-    """Occurrences of every bucket: chunks are added up in tasks, the sums (8 MB) come to the driver."""
-    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
-
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(counts, dtype=np.uint32).astype(np.uint64)
-                sums[chunk] = sums[chunk] + part if chunk in sums else part
-        yield record(schema, chunk=list(sums), counts=[s.tobytes() for s in sums.values()])
-
-    total = np.zeros((CHUNKS, (1 << BUCKET_BITS) // CHUNKS), dtype=np.uint64)
-    chunks = made.filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk")
-    for row in mapped(chunks, run, "chunk int, counts binary").toLocalIterator():
-        total[row["chunk"]] += np.frombuffer(row["counts"], dtype=np.uint64)
-    return total.reshape(-1)
-
-
 def postings(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
     """The prefix shingles of one document for each set a task meets, rarest first."""
     commonness = np.round(16 * np.log2(1.0 + counts)).astype(np.uint16)
@@ -258,7 +237,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 def linked(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts of all documents, the class of each (``doc_id, rep``), and links between classes that span their components."""
     made = written(facts(docs, words), "facts")
-    counts = bucket_counts(made)
+    counts = added_up(made, 1 << BUCKET_BITS)
     known = made.filter("chunk is null")
     sets = known.filter("doc_id is not null and n > 0")
     reps = sets.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
-from . import decontaminate, exact_dedup, jaccard, packing, token_file
+from . import decontaminate, exact_dedup, jaccard, language, packing, token_file
 from .common import table, tokenizer_path
 
 
@@ -30,10 +30,15 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_token_file": token_ids,
     "op3_best_fit_packing": best_fit,
     "op4_exact_dedup": exact_groups,
+    "op5_language_id": languages,
     "op7_jaccard_join": near_components,
     "op10_decontamination": contamination,
 }
