@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS, written
+
 # A task takes at most this many texts in hand at once, and closes a hand early at this many characters.
 HAND_ROWS = 256
 HAND_CHARS = 4_000_000
@@ -90,3 +92,14 @@ def added_up(made: DataFrame, size: int) -> np.ndarray:
     for row in mapped(chunks, run, "chunk int, counts binary").collect():
         total[row["chunk"]] += np.frombuffer(row["counts"], dtype=np.uint64)
     return total.reshape(-1)
+
+
+def keyed(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id (null equal to null) is among ``ids``, or isn't (left_semi, left_anti).
+
+    The ids are written once.  They are broadcast while they are few; else the join shuffles.
+    """
+    chosen = written(ids.distinct(), "ids").select(F.col("doc_id").alias("chosen_id"))
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), how)

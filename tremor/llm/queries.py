@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from ..session import fresh_path
-from . import decontaminate, exact_dedup, jaccard, language, packing, token_file
+from . import decontaminate, exact_dedup, html_text, jaccard, language, licenses, packing, pii, quality_rank, token_file
 from .common import table, tokenizer_path
 
 
@@ -34,13 +36,34 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_pii": personal_data,
     "op2_token_file": token_ids,
     "op3_best_fit_packing": best_fit,
     "op4_exact_dedup": exact_groups,
     "op5_language_id": languages,
+    "op6_html_text": main_texts,
     "op7_jaccard_join": near_components,
+    "op8_license_scan": license_scan,
+    "op9_quality_rank": quality,
     "op10_decontamination": contamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 EXACT_SQL = r"""
