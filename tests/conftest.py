@@ -49,13 +49,15 @@ def pdf(batch):
 
 @pytest.fixture
 def raw(spark):
-    """Four lines of an awkward export, all text."""
-    columns = ["Acct No", "Ticker", "Side", "Quantity", "Strike Price", "Expiration", "C/P",
-               "Und Last", "Implied Vol"]
-    rows = [
-        ("A-001", "aapl ", "LONG", "1,200", "150000", "03/20/2026", "CALL", "$182.50", "28.5"),
-        ("A-001", "AAPL", "SHORT", "(300)", "160000", "03/20/2026", "put", "182.50", "31.2"),
-        ("A-002", "MSFT", "LONG", "50", "400000", "06/19/2026", "Calls", "410.25", "24.0"),
-        ("A-002", "SPY", "LONG", "2,000", "0", "", "", "560.10", "0"),
-    ]
+    """Six lines of a made-up clearing file, all text: futures house codes, lots, prices in cents."""
+    lines = """
+    17|zinc | 12    |bought|call  |2500|2026-04-17|$25.50 |40   |metals
+    18|zinc | 7     |sold  |put   |2250|2026-04-17|25.50  |41.5 |metals
+    17|rye  | 1,000 |sold  |future|    |          |8.25   |     |grain
+    19|rye  | (40)  |bought|put   |775 |17-Jul-2026|8.25  |22   |grain
+    19|opal | 3     |bought|call  |9050|20261218  |90     |65   |gems
+    20|opal |       |bought|future|    |          |90     |     |gems
+    """
+    rows = [tuple(cell for cell in line.strip().split("|")) for line in lines.strip().splitlines()]
+    columns = ["house", "product", "lots", "way", "what", "strike cents", "until", "last", "vol", "group"]
     return spark.createDataFrame(rows, columns).coalesce(1)

@@ -9,30 +9,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_text
+from ..session import written
 from .filters import where_all
 from .pivot import (PivotRequest, aggregated, detail_cells, join_on_keys, narrowed,
                     scenario_columns, split_filters, sums_of, worst_of)
 
-MAX_ROWS = 500
-
 
 def flatten(df: DataFrame, request: PivotRequest, depth: int = 1,
-            max_rows: int | None = MAX_ROWS) -> DataFrame:
-    """Rows of the first ``depth`` levels, each parent followed by its children.
-
-    The deepest level is aggregated once from the positions and every level
-    above is folded from it.  A child learns its place from its parent by an
-    equi-join on the path, level by level, so no parent's children are gathered
-    in one task; the cap is a top-k over that order.  Children of a null key, or
-    of a row an aggregate filter removed, do not appear.
+            max_rows: int | None = None) -> DataFrame:
+    """Rows of the first ``depth`` levels, each parent followed by its children; all, or the first ``max_rows``.
+
+    The positions are aggregated once, to the deepest level, and that is written to the shared
+    folder; every level above is folded from it.  Detail cells come from one distinct set of
+    keys and details.  A depth beyond the last dimension lists the positions below it.  A child
+    learns its place from its parent by an equi-join on the path, level by level, so no parent's
+    children are gathered in one task; a cap is a top-k over that order.  Children of a null
+    key, or of a row an aggregate filter removed, do not appear.
     """
     dims = list(request.dimensions[:depth])
     if not dims:
         raise ValueError("flatten needs a dimension and a depth of at least one")
+    listed = depth > len(dims)
     source = narrowed(df, request)
     after = split_filters(df, request)[1]
     wanted = [d for d in dict.fromkeys(request.detail_dimensions) if d in df.columns]
-    finest, _ = aggregated(source, dims, _without_details(request))
+    finest = written(aggregated(source, dims, _without_details(request))[0], "finest")
+    pairs = written(source.select(*dict.fromkeys([*dims, *wanted])).distinct(), "details") if wanted else None
     scenarios = scenario_columns(finest)
     sums = [c for c in finest.columns if c in request.measures or c in scenarios]
 
@@ -43,7 +45,7 @@ def flatten(df: DataFrame, request: PivotRequest, depth: int = 1,
         rows = finest if path == dims else _folded(finest, path, sums, scenarios)
         details = [d for d in wanted if d not in path]
         if details:
-            rows = join_on_keys(rows, detail_cells(source, path, details), path)
+            rows = join_on_keys(rows, detail_cells(pairs, path, details), path)
         rows = where_all(rows, after)
         keys = [(c, d) for c, d in request.sort
                 if c in rows.columns and (c == group or c not in path)]
@@ -62,6 +64,8 @@ def flatten(df: DataFrame, request: PivotRequest, depth: int = 1,
         levels.append((rows, keys, [F.lit(depth_here).alias("level"), label.alias("label"),
                                     *path, *shown]))
 
+    if listed:
+        levels.append(_positions(source, parent, dims, sums, scenarios, request))
     frames = [rows.select(*columns, *[c for c in rows.columns if c.startswith("__o")])
               for rows, _, columns in levels]
     tree = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -80,6 +84,20 @@ def flatten(df: DataFrame, request: PivotRequest, depth: int = 1,
                                 if c not in head and not c.startswith("__o")])
 
 
+def _positions(source: DataFrame, parent: DataFrame, dims, sums, scenarios, request: PivotRequest):
+    """The level of single positions, in the form of the levels above it."""
+    place = len(dims)
+    rows = source.select(*dims, "position_id", F.lit(1).cast("long").alias("positions"), *sums)
+    if scenarios:
+        rows = rows.withColumn("worst", worst_of(scenarios))
+    keys = [(c, d) for c, d in request.sort if c in rows.columns and c not in dims] + [("position_id", False)]
+    rows = rows.withColumns({f"__o{place}_{i}": F.col(c) for i, (c, _) in enumerate(keys)})
+    places = [c for c in parent.columns if c.startswith("__o")]
+    rows = rows.join(parent.select(*dims, *places), dims)
+    shown = ["positions", *sums, *(["worst"] if scenarios else [])]
+    return rows, keys, [F.lit(place).alias("level"), F.col("position_id").cast("string").alias("label"), *dims, *shown]
+
+
 def _without_details(request: PivotRequest) -> PivotRequest:
     return replace(request, detail_dimensions=(), include_worst_scenario=False)
 
@@ -91,7 +109,7 @@ def _folded(finest: DataFrame, path, sums, scenarios) -> DataFrame:
 
 
 def report_rows(df: DataFrame, request: PivotRequest, template, grid, depth: int = 1,
-                max_rows: int | None = MAX_ROWS) -> DataFrame:
+                max_rows: int | None = None) -> DataFrame:
     """The flattened tree in export shape: level, group, details, counts, columns."""
     tree = flatten(df, request, depth, max_rows)
     details = [d for d in request.detail_dimensions

@@ -5,19 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS
-
-
-def _most_splits(df: DataFrame) -> int:
-    """Upper bound on the splits of a scan: per file, per split size, per core."""
-    session = df.sparkSession
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    size = session.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
-    if not size.isdigit():
-        return BROADCAST_ROWS + 1
-    cores = session.sparkContext.defaultParallelism
-    return len(df.inputFiles()) + total // int(size) + cores
+from ..session import small, written
 
 
 def with_position_id(df: DataFrame, out: str = "position_id",
@@ -28,7 +16,8 @@ def with_position_id(df: DataFrame, out: str = "position_id",
     file split the scan order is the file order, so a row's id is its split's
     offset plus its place in the split.  Only one row per split is aggregated;
     the data itself is neither sorted nor shuffled, and a lost task renumbers
-    its splits the same way.
+    its splits the same way.  The offsets, a row a split, are written once; the
+    join broadcasts them while they are few.
     """
     keep = df.columns
     tagged = df.select(
@@ -45,7 +34,6 @@ def with_position_id(df: DataFrame, out: str = "position_id",
     offsets = splits.select(
         "__file", "__block",
         (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
-    if _most_splits(df) <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
+    offsets = small(written(offsets, "splits"))
     return tagged.join(offsets, ["__file", "__block"]).select(
         *keep, (F.col("__seq") + F.col("__shift")).alias(out))

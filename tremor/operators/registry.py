@@ -14,13 +14,14 @@ def latest_entries(log: DataFrame) -> DataFrame:
     return best.select("firm_id", "batch_id", "e.*")
 
 
-def ready_batches(log: DataFrame, firm_id: str, limit: int = 50,
+def ready_batches(log: DataFrame, firm_id: str, limit: int | None = None,
                   ready_only: bool = True) -> DataFrame:
-    """A firm's batches, newest first."""
+    """A firm's batches, newest first; all of them, or the first ``limit``."""
     rows = latest_entries(log.where(F.col("firm_id") == firm_id))
     if ready_only:
         rows = rows.where(F.col("status") == "ready")
-    return rows.orderBy(F.desc("timestamp"), F.desc("batch_id")).limit(limit)
+    rows = rows.orderBy(F.desc("timestamp"), F.desc("batch_id"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def latest_ready(log: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """A position book derived from the order tables.
 
-Line items become positions, customers accounts, parts underlyings.  The only
-broadcasts are the two fixed reference tables; customers, parts and orders grow
-with the data, so their join strategy is left to the optimizer's size checks.
+Line items become positions, customers accounts, parts underlyings.  All join
+strategies are left to the optimizer's size checks.
 """
 
 from __future__ import annotations
@@ -33,12 +32,12 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
     nations = table(spark, sf_dir, "nation").join(
-        F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     joined = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     )
     option = F.col("l_returnflag") != "N"
     price = F.col("p_retailprice")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.transforms import TRANSFORMS, MappingContext
-from ..operators.ingest import RUNS, Workspace, ingest_file, read_table
-from ..operators.mapping import (apply_profile, contract_label, finalise, inspect_source,
+from ..operators.ingest import ALERT_ROWS, RUNS, Workspace, ingest_file, read_table
+from ..operators.mapping import (FieldMapping, apply_profile, contract_label, finalise, inspect_source,
                                  latest_profile, next_version, resolve_sigma)
 from ..operators.quality import QualityContext, findings
-from ..operators.registry import latest_entries, latest_ready
-from ..operators.valuation import value_batch
-from ..session import fresh_path
-from ..sources.batch_store import (BatchStore, list_batches, load_batch, load_positions, raw_book,
+from ..operators.pivot import PivotRequest
+from ..operators.registry import latest_entries, latest_ready, ready_batches
+from ..operators.scenarios import column_of, pct_grid
+from ..operators.valuation import scenario_pnl, value_batch
+from ..session import SPARK_ERRORS, fresh_path
+from ..sources.batch_store import (BatchStore, delete_batch, list_batches, load_batch, load_positions, raw_book,
                                    write_batch)
-from ..sources.export import quarantine
+from ..sources.export import export_csv, quarantine
 from ..sources.positions import read_positions
 from ..sources.text import read_source
 from ..streaming.drop import drop_ingest
@@ -24,7 +29,8 @@ from .common import rounded
 from .pivot_queries import RULES
 from .raw_export import MAPPED, MAPPED_COLUMNS, NUMBER, RAW, profile, raw_export
 
-CTX = MappingContext(BATCH_DATE, ("Row Id", "Acct No", "Ticker", "Side", "Quantity"))
+FIRMS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+CTX = MappingContext(BATCH_DATE, ("Ref", "Book Ref", "Root", "Direction", "Lots"))
 
 
 def _csv(spark, d) -> str:
@@ -42,10 +48,10 @@ def _t(name, column, **params):
 def q_scan_raw_text(spark, d):
     raw = read_source(spark, _csv(spark, d))
     return raw.select(
-        F.col("`Row Id`").alias("row_id"), F.col("`Acct No`").alias("acct"),
-        F.col("Quantity").alias("quantity"), F.col("`Strike Price`").alias("strike_price"),
-        F.col("Expiration").alias("expiration"), F.col("`C/P`").alias("cp"),
-        F.col("`Und Last`").alias("und_last"))
+        F.col("`Ref`").alias("row_id"), F.col("`Book Ref`").alias("acct"),
+        F.col("Lots").alias("quantity"), F.col("`Strike Mils`").alias("strike_price"),
+        F.col("Last Day").alias("expiration"), F.col("`Kind`").alias("cp"),
+        F.col("`Spot`").alias("und_last"))
 
 
 S_SCAN_RAW_TEXT = f"""WITH {RAW} SELECT row_id, acct, quantity, strike_price,
@@ -90,8 +96,8 @@ S_PREPARED_CSV = Q.with_book("""SELECT firm, is_option, count(*) AS positions, s
 
 def q_map_trim_upper(spark, d):
     return raw_export(spark, d).select(
-        F.col("`Row Id`").alias("row_id"), _t("trim", "Ticker").alias("trimmed"),
-        _t("upper", "Ticker").alias("uppered"), _t("identity", "Ticker").alias("same"))
+        F.col("`Ref`").alias("row_id"), _t("trim", "Root").alias("trimmed"),
+        _t("upper", "Root").alias("uppered"), _t("identity", "Root").alias("same"))
 
 
 S_MAP_TRIM_UPPER = f"""WITH {RAW} SELECT row_id, trim(ticker, chr(9) || ' ') AS trimmed,
@@ -100,9 +106,9 @@ S_MAP_TRIM_UPPER = f"""WITH {RAW} SELECT row_id, trim(ticker, chr(9) || ' ') AS
 
 def q_map_number(spark, d):
     return rounded(raw_export(spark, d).select(
-        F.col("`Row Id`").alias("row_id"), _t("number", "Quantity").alias("quantity"),
-        _t("number", "Und Last").alias("price"), _t("number", "Hist Vol").alias("hist_vol"),
-        _t("number", "Acct No").alias("not_a_number")))
+        F.col("`Ref`").alias("row_id"), _t("number", "Lots").alias("quantity"),
+        _t("number", "Spot").alias("price"), _t("number", "Realised").alias("hist_vol"),
+        _t("number", "Book Ref").alias("not_a_number")))
 
 
 S_MAP_NUMBER = f"""WITH {RAW} SELECT row_id, {NUMBER.format(c='quantity')} AS quantity,
@@ -112,9 +118,9 @@ S_MAP_NUMBER = f"""WITH {RAW} SELECT row_id, {NUMBER.format(c='quantity')} AS qu
 
 def q_map_scale(spark, d):
     return rounded(raw_export(spark, d).select(
-        F.col("`Row Id`").alias("row_id"),
-        _t("scale", "Strike Price", factor=0.001).alias("strike"),
-        _t("scale", "Implied Vol", factor=0.01).alias("iv"), _t("scale", "Und Last").alias("price")), 6)
+        F.col("`Ref`").alias("row_id"),
+        _t("scale", "Strike Mils", factor=0.001).alias("strike"),
+        _t("scale", "Vol Pct", factor=0.01).alias("iv"), _t("scale", "Spot").alias("price")), 6)
 
 
 S_MAP_SCALE = f"""WITH {RAW} SELECT row_id, round(strike_price::DOUBLE * 0.001, 6) AS strike,
@@ -123,8 +129,8 @@ S_MAP_SCALE = f"""WITH {RAW} SELECT row_id, round(strike_price::DOUBLE * 0.001,
 
 def q_map_abs_negate(spark, d):
     return rounded(raw_export(spark, d).select(
-        F.col("`Row Id`").alias("row_id"), _t("abs", "Quantity").alias("size"),
-        _t("negate", "Quantity").alias("negated")))
+        F.col("`Ref`").alias("row_id"), _t("abs", "Lots").alias("size"),
+        _t("negate", "Lots").alias("negated")))
 
 
 S_MAP_ABS_NEGATE = f"""WITH {RAW} SELECT row_id, abs({NUMBER.format(c='quantity')}) AS size,
@@ -133,8 +139,8 @@ S_MAP_ABS_NEGATE = f"""WITH {RAW} SELECT row_id, abs({NUMBER.format(c='quantity'
 
 def q_map_signed_by(spark, d):
     return rounded(raw_export(spark, d).select(
-        F.col("`Row Id`").alias("row_id"), _t("signed_by", "Quantity", side_column="Side").alias("qty"),
-        _t("signed_by", "Quantity", side_column="Side", short_values=["long"]).alias("inverse")))
+        F.col("`Ref`").alias("row_id"), _t("signed_by", "Lots", side_column="Direction").alias("qty"),
+        _t("signed_by", "Lots", side_column="Direction", short_values=["long"]).alias("inverse")))
 
 
 S_MAP_SIGNED_BY = f"""WITH {RAW}, n AS (SELECT row_id, side, abs({NUMBER.format(c='quantity')}) AS m FROM raw)
@@ -144,8 +150,8 @@ SELECT row_id, CASE WHEN side = 'short' THEN -m ELSE m END AS qty,
 
 def q_map_call_put(spark, d):
     return raw_export(spark, d).select(
-        F.col("`Row Id`").alias("row_id"), _t("call_put", "C/P").alias("right"),
-        _t("call_put", "C/P", call_values=["put"], put_values=["n/a"]).alias("odd"))
+        F.col("`Ref`").alias("row_id"), _t("call_put", "Kind").alias("right"),
+        _t("call_put", "Kind", call_values=["put"], put_values=["n/a"]).alias("odd"))
 
 
 S_MAP_CALL_PUT = f"""WITH {RAW} SELECT row_id,
@@ -155,8 +161,8 @@ S_MAP_CALL_PUT = f"""WITH {RAW} SELECT row_id,
 
 def q_map_date(spark, d):
     return raw_export(spark, d).select(
-        F.col("`Row Id`").alias("row_id"), _t("date", "Expiration").alias("expiry"),
-        _t("date", "Expiration", format="%d/%m/%Y").alias("day_first"))
+        F.col("`Ref`").alias("row_id"), _t("date", "Last Day").alias("expiry"),
+        _t("date", "Last Day", format="%d/%m/%Y").alias("day_first"))
 
 
 _FIRST = "try_strptime(expiration, '{}')"
@@ -170,9 +176,9 @@ S_MAP_DATE = f"""WITH {RAW} SELECT row_id,
 
 def q_map_values(spark, d):
     return raw_export(spark, d).select(
-        F.col("`Row Id`").alias("row_id"),
-        _t("map_values", "Product", values={"PROMO": "P", "SMALL": "S"}, default="?").alias("code"),
-        _t("map_values", "Product", values={"PROMO": "P"}).alias("no_default"))
+        F.col("`Ref`").alias("row_id"),
+        _t("map_values", "Segment", values={"PROMO": "P", "SMALL": "S"}, default="?").alias("code"),
+        _t("map_values", "Segment", values={"PROMO": "P"}).alias("no_default"))
 
 
 S_MAP_VALUES = f"""WITH {RAW} SELECT row_id,
@@ -185,7 +191,7 @@ def _mapped(spark, d):
     raw = raw_export(spark, d)
     ctx = MappingContext(BATCH_DATE, tuple(raw.columns))
     fields = [m.column(ctx) for m in profile().mappings]
-    return finalise(raw.select(F.col("`Row Id`").cast("long").alias("position_id"), *fields), BATCH_DATE)
+    return finalise(raw.select(F.col("`Ref`").cast("long").alias("position_id"), *fields), BATCH_DATE)
 
 
 def q_apply_profile(spark, d):
@@ -241,8 +247,8 @@ def q_sigma_from(spark, d):
     """Supplied deviations with gaps, and a column of nothing usable."""
     raw = raw_export(spark, d)
     base = raw.select(
-        F.col("`Row Id`").alias("row_id"), (_t("number", "Implied Vol") / 100).alias("iv"),
-        _t("number", "Hist Vol").alias("sigma_daily"))
+        F.col("`Ref`").alias("row_id"), (_t("number", "Vol Pct") / 100).alias("iv"),
+        _t("number", "Realised").alias("sigma_daily"))
     given = resolve_sigma(base).withColumn("variant", F.lit("supplied"))
     none = resolve_sigma(base.withColumn("sigma_daily", F.lit(0.0))).withColumn("variant", F.lit("zeros"))
     return rounded(given.unionByName(none).drop("iv"), 8)
@@ -332,8 +338,8 @@ def q_dq_row_drift(spark, d):
 
 
 S_DQ_ROW_DRIFT = Q.with_book("""SELECT CASE WHEN d / o >= 0.5 THEN 'error' ELSE 'warning' END AS severity,
-  'row_drift' AS code, d AS count, format('{:,}', n) || ' rows is ' || round(100 * d / o)::BIGINT
-  || '% fewer than the previous batch (' || format('{:,}', o) || '); the file may be truncated or doubled' AS message
+  'row_drift' AS code, d AS count, 'rows: ' || format('{:,}', o) || ' before, now ' || format('{:,}', n) || ' (-'
+  || round(100 * d / o)::BIGINT || '%)' AS message
 FROM (SELECT *, o - n AS d FROM (SELECT count(*) FILTER (firm = 'ASIA') AS n, count(*) AS o FROM book))
 WHERE d / o >= 0.2""")
 
@@ -351,20 +357,24 @@ FROM (SELECT count(DISTINCT account) FILTER (firm = 'ASIA') AS n,
 
 def _renamed(raw):
     """The export without its price column's content: validation must refuse it."""
-    return raw.withColumn("Und Last", F.lit(""))
+    return raw.withColumn("Spot", F.lit(""))
 
 
 def q_ingest_gate(spark, d):
-    """A good file, one without prices, one that misses columns and a short one."""
+    """A good file, one without prices, one that misses columns, a short one, a profile that cannot work and a file that is gone."""
     raw = raw_export(spark, d)
     folder = fresh_path(spark, "drop")
     work = Workspace(fresh_path(spark, "work"))
     variants = (
-        ("good", raw), ("no_price", _renamed(raw)), ("misfit", raw.select("Acct No", "Ticker")),
-        ("short", raw.where("Desk = 'NATION_1'")))
+        ("good", raw), ("no_price", _renamed(raw)), ("misfit", raw.select("Book Ref", "Root")),
+        ("short", raw.where("Unit = 'NATION_1'")))
     for name, frame in variants:
         frame.write.option("header", True).csv(f"{folder}/{name}")
         ingest_file(spark, work, profile(), f"{folder}/{name}", name, BATCH_DATE)
+    typo = profile()
+    typo.mappings = [m for m in typo.mappings if m.field != "iv"] + [FieldMapping("iv", constant="abc")]
+    ingest_file(spark, work, typo, f"{folder}/good", "typo", BATCH_DATE)
+    ingest_file(spark, work, profile(), f"{folder}/gone", "gone", BATCH_DATE)
     runs = read_table(spark, work.table("runs"), RUNS)
     codes = F.array_join(F.array_sort(F.transform("findings", lambda f: f["code"])), ",")
     return runs.select(F.element_at(F.split("file", "/"), -1).alias("file"), "status", "rows",
@@ -376,7 +386,8 @@ S_INGEST_GATE = f"""WITH {MAPPED}, n AS (SELECT count(*) AS everything,
 SELECT 'good' AS file, 'succeeded' AS status, everything AS "rows", 'good' AS batch_id, '' AS codes FROM n
 UNION ALL SELECT 'no_price', 'quarantined', everything, NULL, 'bad_price,null_required' FROM n
 UNION ALL SELECT 'misfit', 'quarantined', 0, NULL, '' FROM n
-UNION ALL SELECT 'short', 'quarantined', short, NULL, 'row_drift' FROM n"""
+UNION ALL SELECT 'short', 'quarantined', short, NULL, 'row_drift' FROM n
+UNION ALL VALUES ('good', 'quarantined', 0, NULL, ''), ('gone', 'failed', 0, NULL, '')"""
 
 
 def q_quarantine(spark, d):
@@ -385,7 +396,7 @@ def q_quarantine(spark, d):
     quarantine(spark, "ACME", path, "bad_price", where)
     kept = spark.read.parquet(where)
     return kept.groupBy("firm_id", "reason").agg(
-        F.count_if(~F.startswith("raw_line", F.lit("Row Id,"))).alias("lines"))
+        F.count_if(~F.startswith("raw_line", F.lit("Segment,"))).alias("lines"))
 
 
 S_QUARANTINE = """SELECT 'ACME' AS firm_id, 'bad_price' AS reason, count(*) AS lines FROM lineitem"""
@@ -395,18 +406,28 @@ def q_stream_drop_ingest(spark, d):
     """The export dropped as one file per product, ingested by a stream with alerts."""
     folder = fresh_path(spark, "drop")
     work = Workspace(fresh_path(spark, "work"))
-    raw = raw_export(spark, d).withColumn("__p", F.col("Product"))
+    raw = raw_export(spark, d).withColumn("__p", F.col("Segment"))
     raw.repartition("__p").write.partitionBy("__p").option("header", True).csv(folder)
     query = drop_ingest(spark, f"{folder}/*", work, profile(), BATCH_DATE,
                         fresh_path(spark, "offsets"), rules=RULES)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return read_table(spark, work.table("runs"), RUNS).select("status", "rows", "error")
+    runs = read_table(spark, work.table("runs"), RUNS)
+    stored, sent = None, read_table(spark, work.table("alert_rows"), ALERT_ROWS)
+    for r in list_batches(spark, work.store, "ACME").collect():
+        frame = load_batch(spark, work.store, "ACME", r["batch_id"]).frame
+        one = frame.groupBy("sector").agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("position_id").alias("ids")).withColumn("batch_id", F.lit(r["batch_id"]))
+        stored = one if stored is None else stored.unionByName(one)
+    fired = sent.groupBy("batch_id").agg(F.count(F.lit(1)).alias("alert_rows"), F.max("worst").alias("mildest"))
+    mild = F.coalesce(F.col("mildest") < -150_000.5, F.lit(True))
+    return runs.join(stored, "batch_id").join(fired, "batch_id", "left").select(
+        "sector", "status", "rows", "error", "stored", "ids", mild.alias("alerts_hold"))
 
 
-S_STREAM_DROP_INGEST = Q.with_book("""SELECT 'succeeded' AS status, count(*) AS "rows", '' AS error
-FROM book GROUP BY sector""")
+S_STREAM_DROP_INGEST = Q.with_book("""SELECT CASE sector WHEN 'PROMO' THEN 'Promotional' WHEN 'ECONOMY' THEN 'Economy'
+  WHEN 'SMALL' THEN 'Small' ELSE 'Other' END AS sector, 'succeeded' AS status, count(*) AS "rows", '' AS error,
+  count(*) AS stored, count(*) AS ids, TRUE AS alerts_hold FROM book GROUP BY book.sector""")
 
 
 # -- batch store --------------------------------------------------------------
@@ -437,22 +458,27 @@ S_RAW_BOOK = Q.with_book("""SELECT position_id, firm, desk, master_account, acco
 
 
 def _firm_batches(spark, d):
-    """One stored batch per firm, without rollups."""
+    """One stored batch for each of the five firms, without rollups."""
     store = BatchStore(fresh_path(spark, "store"))
     b = batch(spark, d)
-    for firm in ("ASIA", "MIDDLE EAST"):
+    for firm in FIRMS:
         write_batch(b.where(F.col("firm") == firm), store, firm, f"{firm} 1", GRID, materialise=False)
     return store
 
 
+def _every_firm(spark, store):
+    frames = [load_batch(spark, store, firm, f"{firm} 1").frame.withColumn("read_as", F.lit(firm)) for firm in FIRMS]
+    return reduce(DataFrame.unionByName, frames)
+
+
 def q_load_batch(spark, d):
-    loaded = load_batch(spark, _firm_batches(spark, d), "MIDDLE EAST", "MIDDLE EAST 1")
-    return rounded(loaded.frame.groupBy("firm", "desk").agg(
+    loaded = _every_firm(spark, _firm_batches(spark, d))
+    return rounded(loaded.groupBy("firm", "desk").agg(
         F.count(F.lit(1)).alias("positions"), *[F.sum(s).alias(s) for s in Q.SCENARIOS]))
 
 
 S_LOAD_BATCH = Q.with_batch(f"""SELECT firm, desk, positions, {Q.rounded_list(Q.SCENARIOS)} FROM (
-  SELECT firm, desk, {Q.sums(Q.SCENARIOS)} FROM batch WHERE firm = 'MIDDLE EAST' GROUP BY firm, desk)""")
+  SELECT firm, desk, {Q.sums(Q.SCENARIOS)} FROM batch GROUP BY firm, desk)""")
 
 
 def q_list_batches(spark, d):
@@ -467,14 +493,95 @@ WHERE r_name = 'ASIA'"""
 
 
 def q_firm_scope(spark, d):
-    """A firm's reader sees its own positions only."""
-    frame = load_batch(spark, _firm_batches(spark, d), "ASIA", "ASIA 1").frame
-    return frame.groupBy("firm").agg(
+    """Each firm's reader sees its own positions only."""
+    return _every_firm(spark, _firm_batches(spark, d)).groupBy("read_as", "firm").agg(
         F.count(F.lit(1)).alias("positions"), F.count_distinct("account").alias("accounts"))
 
 
-S_FIRM_SCOPE = Q.with_book("""SELECT firm, count(*) AS positions, count(DISTINCT account) AS accounts
-FROM book WHERE firm = 'ASIA' GROUP BY firm""")
+S_FIRM_SCOPE = Q.with_book("""SELECT firm AS read_as, firm, count(*) AS positions, count(DISTINCT account) AS accounts
+FROM book GROUP BY firm""")
+
+
+def q_delete_batch(spark, d):
+    """One firm's batch is deleted; the others stay."""
+    store = _firm_batches(spark, d)
+    delete_batch(spark, store, "ASIA", "ASIA 1")
+    return reduce(DataFrame.unionByName, [list_batches(spark, store, firm) for firm in FIRMS])
+
+
+S_DELETE_BATCH = "SELECT r_name || ' 1' AS batch_id FROM region WHERE r_name <> 'ASIA'"
+
+
+def q_totals_from_rollup(spark, d):
+    """The totals of a stored batch, folded from its rollups."""
+    store = BatchStore(fresh_path(spark, "store"))
+    write_batch(batch(spark, d), store, "ACME", "b1", GRID)
+    return rounded(load_batch(spark, store, "ACME", "b1").totals(PivotRequest(("sector",))))
+
+
+S_TOTALS_FROM_ROLLUP = Q.with_batch(f"""SELECT positions, {Q.rounded_list((*Q.MEASURES, *Q.SCENARIOS, 'worst'))}
+FROM (SELECT *, {Q.WORST} AS worst FROM (SELECT {Q.sums()} FROM batch))""")
+
+
+def q_export_csv(spark, d):
+    """A report written in parts and read back."""
+    path = fresh_path(spark, "report")
+    export_csv(book(spark, d).groupBy("desk").agg(F.count(F.lit(1)).alias("positions")).orderBy("desk"), path)
+    return spark.read.csv(path, header=True).select("desk", F.col("positions").cast("long").alias("positions"))
+
+
+S_EXPORT_CSV = Q.with_book("SELECT desk, count(*) AS positions FROM book GROUP BY desk")
+
+
+def q_ragged_source(spark, d):
+    """Lines with a field too many fail the read, whatever is selected; lines with one too few are filled up."""
+    n = table(spark, d, "nation").select(F.concat_ws(",", "n_nationkey", "n_name").alias("value"), "n_nationkey")
+    out = []
+    for name, tail in (("even", F.lit(",x")), ("short", F.lit("")), ("long", F.lit(",x,y"))):
+        path = fresh_path(spark, name)
+        lines = n.select(F.concat("value", F.when(F.col("n_nationkey") == 7, tail).otherwise(F.lit(",x"))).alias("value"))
+        spark.createDataFrame([("key,name,more",)], "value string").unionByName(lines).coalesce(1).write.text(path)
+        try:
+            rows = read_source(spark, path).select("key").count()
+        except SPARK_ERRORS:
+            rows = -1
+        out.append((name, rows))
+    return spark.createDataFrame(out, "file string, rows long")
+
+
+S_RAGGED_SOURCE = """SELECT f AS file, CASE WHEN f = 'long' THEN -1 ELSE n END AS "rows"
+FROM (SELECT count(*) AS n FROM nation), (VALUES ('even'), ('short'), ('long')) v(f)"""
+
+
+def q_dq_structure(spark, d):
+    """An empty file, and one that lacks a required field."""
+    b = book(spark, d)
+    return findings(b.where("qty IS NULL AND qty = 0")).select(F.lit("empty").alias("file"), "severity", "code", "count").unionByName(
+        findings(b.drop("qty")).where("code = 'missing_field'").select(F.lit("lacking").alias("file"), "severity", "code", "count"))
+
+
+S_DQ_STRUCTURE = """SELECT f AS file, 'error' AS severity, c AS code, 0::BIGINT AS count
+FROM (VALUES ('empty', 'empty_file'), ('lacking', 'missing_field')) v(f, c) WHERE (SELECT count(*) FROM lineitem) > 0"""
+
+
+def q_ready_batches(spark, d):
+    """All ready batches of a firm, newest first."""
+    log = _registry(spark, d)
+    first = log.agg(F.min("firm_id")).first()[0]
+    return ready_batches(log, first).select("firm_id", "batch_id", "positions")
+
+
+def q_pct_scenarios(spark, d):
+    """Equities under the default percentage grid, ten moves by five shifts."""
+    equities = book(spark, d).where("NOT is_option")
+    grid = pct_grid()
+    out = scenario_pnl(equities, grid)
+    return rounded(out.groupBy("sector").agg(*[F.sum(column_of(i)).alias(column_of(i)) for i in range(len(grid))]), 2)
+
+
+S_PCT_SCENARIOS = Q.with_book("SELECT sector, " + ", ".join(
+    f"round(sum(qty * multiplier * underlying_price * {p.underlying!r}), 2) AS {column_of(i)}" for i, p in enumerate(pct_grid().points))
+    + " FROM book WHERE NOT is_option GROUP BY sector")
 
 
 def q_batch_manifest(spark, d):
@@ -528,7 +635,17 @@ S_REGISTRY_LATEST = f"""{_LATEST} SELECT o_custkey::VARCHAR AS firm_id, o_orderp
   o_orderkey AS positions, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ready' END AS status
 FROM l WHERE rn = 1"""
 
+S_READY_BATCHES = f"""{_LATEST} SELECT o_custkey::VARCHAR AS firm_id, o_orderpriority AS batch_id, o_orderkey AS positions
+FROM l WHERE rn = 1 AND o_orderstatus <> 'F' AND o_custkey::VARCHAR = (SELECT min(o_custkey::VARCHAR) FROM orders)"""
+
 QUERIES = {
+    "delete_batch": (q_delete_batch, S_DELETE_BATCH),
+    "dq_structure": (q_dq_structure, S_DQ_STRUCTURE),
+    "export_csv": (q_export_csv, S_EXPORT_CSV),
+    "pct_scenarios": (q_pct_scenarios, S_PCT_SCENARIOS),
+    "ragged_source": (q_ragged_source, S_RAGGED_SOURCE),
+    "ready_batches": (q_ready_batches, S_READY_BATCHES),
+    "totals_from_rollup": (q_totals_from_rollup, S_TOTALS_FROM_ROLLUP),
     "scan_raw_text": (q_scan_raw_text, S_SCAN_RAW_TEXT),
     "scan_raw_parquet": (q_scan_raw_parquet, S_SCAN_RAW_PARQUET),
     "prepared_positions": (q_prepared_positions, S_PREPARED),

@@ -256,7 +256,7 @@ TREE = PivotRequest(("firm", "desk", "account"), sort=(("worst", False),), detai
 
 def q_tree_flatten(spark, d):
     """Firm, desk and account as one ordered tree, whole."""
-    tree = flatten(written(batch(spark, d), "tree"), TREE, 3, None)
+    tree = flatten(batch(spark, d), TREE, 3)
     return rounded(tree.drop(*Q.SCENARIOS))
 
 
@@ -277,7 +277,7 @@ FROM (SELECT *, {Q.WORST} AS worst FROM ({_TREE}))""")
 
 def q_tree_top(spark, d):
     """The first 500 rows of the tree, worst groups first on every level."""
-    tree = flatten(written(batch(spark, d), "tree"), TREE, 3)
+    tree = flatten(batch(spark, d), TREE, 3, 500)
     return rounded(tree.select("level", "label", "firm", "desk", "account", "positions", "worst"))
 
 
@@ -290,7 +290,7 @@ ORDER BY w0, firm, level > 0, w1, desk, level > 1, w, account LIMIT 500""")
 
 def q_report_export(spark, d):
     request = PivotRequest(("sector", "industry"), detail_dimensions=("account", "sector"))
-    report = report_rows(written(batch(spark, d), "report"), request, default_template(), GRID, 2, None)
+    report = report_rows(batch(spark, d), request, default_template(), GRID, 2)
     return rounded(report.select(
         "level", "group", "account", "account_count", "positions", F.col("Current NLV").alias("nlv"),
         F.col("-2 Sdev : Contract Risk").alias("s002"), F.col("Max Risk").alias("worst")), 0)
@@ -465,10 +465,11 @@ FROM after JOIN moved USING (rule_id, group_key) WHERE status = 'new' OR rule_id
 
 
 def q_alert_isolation(spark, d):
-    """A rule on a column that does not exist reports an error; the others run."""
+    """A rule on no column, one without a test and one that compares a text with a number report errors; the others run."""
     bad = AlertRule(9, "broken", ("sector",), conditions=(Filter("no_such", "lessThan", 0.0),))
     empty = AlertRule(10, "no condition", ("sector",))
-    result = evaluate(batch(spark, d), (bad, *RULES, empty))
+    other = AlertRule(11, "other type", ("sector",), scope=(Filter("account", "greaterThan", 5),), conditions=RULES[0].conditions)
+    result = evaluate(batch(spark, d), (bad, *RULES, empty, other))
     counted = result.breaches.groupBy("rule_id").agg(F.count(F.lit(1)).alias("breaches"))
     failed = spark.createDataFrame([(k,) for k in result.errors], "rule_id long")
     return counted.select("rule_id", F.lit(True).alias("ran"), "breaches").unionByName(
@@ -476,7 +477,7 @@ def q_alert_isolation(spark, d):
 
 
 S_ALERT_ISOLATION = Q.with_batch(f"""SELECT rule_id, TRUE AS ran, count(*) AS breaches
-FROM ({_breach_sql('batch')}) GROUP BY rule_id UNION ALL VALUES (9, FALSE, 0), (10, FALSE, 0)""")
+FROM ({_breach_sql('batch')}) GROUP BY rule_id UNION ALL VALUES (9, FALSE, 0), (10, FALSE, 0), (11, FALSE, 0)""")
 
 QUERIES = {
     "pivot_level": (q_pivot_level, S_PIVOT_LEVEL),

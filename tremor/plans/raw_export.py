@@ -16,7 +16,7 @@ FORMS = (("MM/dd/yyyy", "%m/%d/%Y"), ("yyyy-MM-dd", "%Y-%m-%d"), ("yyyyMMdd", "%
 
 
 def raw_export(spark, sf_dir: str) -> DataFrame:
-    """One text row per position; ``Row Id`` ties it to the book."""
+    """One text row per position; ``Ref`` ties it to the book."""
     b = book(spark, sf_dir)
     option, pid = F.col("is_option"), F.col("position_id")
     lots = F.format_number(F.abs(F.col("qty")) * 100, 0)
@@ -24,38 +24,34 @@ def raw_export(spark, sf_dir: str) -> DataFrame:
     expiry = F.lit(None).cast("string")
     for i, (pattern, _) in enumerate(FORMS):
         expiry = F.when(pid % len(FORMS) == i, F.date_format(day, pattern)).otherwise(expiry)
-    return b.select(
-        pid.cast("string").alias("Row Id"),
-        F.concat(F.lower("account"), F.lit(" ")).alias("Acct No"),
-        F.concat(F.lit(" "), F.lower("underlying"), F.lit("\t")).alias("Ticker"),
-        F.when(F.col("qty") < 0, "short").otherwise("LONG").alias("Side"),
-        F.when(pid % 3 == 0, F.concat(F.lit("("), lots, F.lit(")")))
-        .when(pid % 3 == 1, F.concat(F.lit("+"), lots)).otherwise(lots).alias("Quantity"),
-        F.when(option, (F.col("strike") * 1000).cast("long").cast("string"))
-        .otherwise("0").alias("Strike Price"),
-        F.when(option, expiry).otherwise("").alias("Expiration"),
-        F.when(~option, "N/A").when(F.col("is_call"), "calls").otherwise("Put").alias("C/P"),
-        F.concat(F.lit("$"), F.format_string("%.2f", "underlying_price")).alias("Und Last"),
-        F.format_string("%.1f", F.col("iv") * 100).alias("Implied Vol"),
-        F.col("sector").alias("Product"), F.col("desk").alias("Desk"),
-        F.when(pid % 5 == 0, "n.a.").otherwise(
-            F.format_string("%.4f", F.col("iv") / 20)).alias("Hist Vol"),
-    )
+    columns = {
+        "Segment": F.col("sector"), "Unit": F.col("desk"),
+        "Root": F.concat(F.lit(" "), F.lower("underlying"), F.lit("\t")),
+        "Kind": F.when(~option, "N/A").when(F.col("is_call"), "calls").otherwise("Put"),
+        "Last Day": F.when(option, expiry).otherwise(""),
+        "Strike Mils": F.when(option, (F.col("strike") * 1000).cast("long").cast("string")).otherwise("0"),
+        "Spot": F.concat(F.lit("$"), F.format_string("%.2f", "underlying_price")),
+        "Vol Pct": F.format_string("%.1f", F.col("iv") * 100),
+        "Realised": F.when(pid % 5 == 0, "n.a.").otherwise(F.format_string("%.4f", F.col("iv") / 20)),
+        "Direction": F.when(F.col("qty") < 0, "short").otherwise("LONG"),
+        "Lots": F.when(pid % 3 == 0, F.concat(F.lit("("), lots, F.lit(")")))
+        .when(pid % 3 == 1, F.concat(F.lit("+"), lots)).otherwise(lots),
+        "Book Ref": F.concat(F.lower("account"), F.lit(" ")), "Ref": pid.cast("string"),
+    }
+    return b.select(*[c.alias(name) for name, c in columns.items()])
 
 
 def profile(firm_id: str = "ACME", **options) -> Profile:
-    def m(field, source, transform="trim", **params):
-        return FieldMapping(field, source, transform=transform, params=params)
-
-    return Profile(firm_id, read_options=options, mappings=[
-        m("account", "Acct No", "upper"), m("underlying", "Ticker", "upper"),
-        m("qty", "Quantity", "signed_by", side_column="Side", short_values=["short"]),
-        m("strike", "Strike Price", "scale", factor=0.001), m("expiry", "Expiration", "date"),
-        m("right", "C/P", "call_put"), m("underlying_price", "Und Last", "number"),
-        m("iv", "Implied Vol", "scale", factor=0.01),
-        m("sector", "Product", "map_values", values=SECTOR_CODES, default="Other"),
-        m("desk", "Desk"), FieldMapping("firm", constant=firm_id),
-    ])
+    wanted = {
+        "account": ("Book Ref", "upper", {}), "underlying": ("Root", "upper", {}),
+        "qty": ("Lots", "signed_by", {"side_column": "Direction", "short_values": ["short"]}),
+        "right": ("Kind", "call_put", {}), "expiry": ("Last Day", "date", {}),
+        "strike": ("Strike Mils", "scale", {"factor": 0.001}), "iv": ("Vol Pct", "scale", {"factor": 0.01}),
+        "underlying_price": ("Spot", "number", {}), "desk": ("Unit", "trim", {}),
+        "sector": ("Segment", "map_values", {"values": SECTOR_CODES, "default": "Other"}),
+    }
+    mappings = [FieldMapping(f, source, transform=t, params=p) for f, (source, t, p) in wanted.items()]
+    return Profile(firm_id, read_options=options, mappings=[*mappings, FieldMapping("firm", constant=firm_id)])
 
 
 _LOTS = "format('{:,}', (abs(qty) * 100)::BIGINT)"

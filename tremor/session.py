@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # What a job or its analysis may raise: some executor errors arrive unconverted.
 SPARK_ERRORS = (PySparkException, Py4JJavaError)
@@ -28,12 +30,13 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of its own.
+    Only a single-process master (``local`` or ``local[n]``) may leave it unset: its driver is its
+    only executor, so a temporary folder is shared by all there is.  Any other master must set it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
     folder = tempfile.mkdtemp(prefix="tremor-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -52,13 +55,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give every core work when a scan has fewer files than there are cores.
+    """Give every core work when a scan has fewer splits than there are cores.
 
-    Pricing is processor bound, so a single small file must not pin it to one
-    task.  Inputs with more files than cores already fill the cluster and pass
-    through without a shuffle.
+    Pricing is processor bound, so a scan of one split must not pin it to one task.  A split is
+    at most ``spark.sql.files.maxPartitionBytes``, so what is shuffled here is bounded by that
+    size times the cores; a scan of more splits, however few its files, passes through.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if len(scan.inputFiles()) >= cores:
-        return scan
-    return scan.repartition(cores, key)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -11,13 +11,19 @@ from ..operators.identity import with_position_id
 
 # Texts that stand for a missing value.
 NULL_VALUES = ("", "NULL", "null", "NA", "N/A")
+_MORE = "__more"
 
 
 def read_source(spark: SparkSession, path, file_format: str = "csv",
                 options: dict | None = None) -> DataFrame:
     """A firm's file as a frame of text columns (Parquet keeps its own types).
 
-    Options: separator, skip_rows, encoding, null_values, truncate_ragged_lines.
+    Options: separator, skip_rows, encoding, null_values, truncate_ragged_lines,
+    multi_line (quoted line breaks; such a file is read by one task).
+
+    A line with more fields than the header fails the read, whichever columns are
+    used later, unless ``truncate_ragged_lines`` cuts it.  A line with fewer is
+    filled up with nulls.
     """
     options = options or {}
     if file_format == "parquet":
@@ -26,15 +32,16 @@ def read_source(spark: SparkSession, path, file_format: str = "csv",
         options.get("encoding", "utf8").lower(), options.get("encoding"))
     csv = {
         "sep": options.get("separator", ","), "encoding": encoding,
-        "mode": "PERMISSIVE" if options.get("truncate_ragged_lines") else "FAILFAST",
+        "mode": "PERMISSIVE",
         # Quotes are doubled inside quoted fields, as spreadsheets write them.
         "escape": '"', "nullValue": "", "emptyValue": "",
     }
+    cut = bool(options.get("truncate_ragged_lines"))
     skip = int(options.get("skip_rows", 0))
     if skip:
-        raw = _after_preamble(spark, path, skip, csv)
+        raw = _after_preamble(spark, path, skip, csv, cut)
     else:
-        raw = spark.read.options(**csv).csv(_paths(path), header=True, inferSchema=False)
+        raw = _with_header(spark, path, csv, bool(options.get("multi_line")), cut)
     missing = list(options.get("null_values", NULL_VALUES))
     cleaned = {c: F.when(~F.col(f"`{c}`").isin(missing), F.col(f"`{c}`")) for c in raw.columns}
     return raw.select(*[v.alias(c) for c, v in cleaned.items()])
@@ -44,7 +51,28 @@ def _paths(path) -> list[str]:
     return [str(p) for p in path] if isinstance(path, (list, tuple)) else [str(path)]
 
 
-def _after_preamble(spark: SparkSession, path, skip: int, csv: dict) -> DataFrame:
+def _surplus(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Fail on a row whose line went on after its last column.
+
+    The check sits in the value of every column, so it holds for whatever is selected or counted.
+    """
+    fine = F.col(_MORE).isNull() | F.raise_error(F.concat(F.lit("more fields than the header has: "), F.col(_MORE))).cast("boolean")
+    return rows.where(fine).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def _with_header(spark: SparkSession, path, csv: dict, multi_line: bool, cut: bool) -> DataFrame:
+    paths = _paths(path)
+    reader = spark.read.options(**csv, multiLine=multi_line)
+    columns = reader.csv(paths, header=True, inferSchema=False).columns
+    if cut:
+        return reader.csv(paths, header=True, inferSchema=False)
+    # One more column than the header takes what should not be there.
+    schema = ", ".join(f"`{c}` string" for c in (*columns, _MORE))
+    wide = reader.option("enforceSchema", True).option("header", True).schema(schema).csv(paths)
+    return _surplus(wide, columns)
+
+
+def _after_preamble(spark: SparkSession, path, skip: int, csv: dict, cut: bool) -> DataFrame:
     """Drop the first lines of every file; the next one is the header."""
     text = spark.read.text(_paths(path))
     if csv["encoding"] != "UTF-8":
@@ -55,7 +83,7 @@ def _after_preamble(spark: SparkSession, path, skip: int, csv: dict) -> DataFram
     if header is None:
         raise ValueError(f"no header after {skip} skipped rows")
     columns = next(csv_module.reader([header["value"]], delimiter=csv["sep"]))
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    parsed = F.from_csv("value", schema, csv)
+    schema = ", ".join(f"`{c}` string" for c in (*columns, _MORE))
     rows = lines.where(F.col("__line") > skip).where(F.length("value") > 0)
-    return rows.select(parsed.alias("r")).select("r.*")
+    parsed = rows.select(F.from_csv("value", schema, csv).alias("r")).select("r.*")
+    return parsed.drop(_MORE) if cut else _surplus(parsed, columns)

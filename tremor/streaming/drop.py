@@ -1,14 +1,15 @@
-"""Drop-directory ingest as a Structured Streaming query."""
+"""Drop-directory ingest: as a Structured Streaming query, and as a poll of what waits."""
 
 from __future__ import annotations
 
 import datetime as dt
-from urllib.parse import unquote, urlparse
+from urllib.parse import quote, unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import Workspace, ingest_file
+from ..operators.ingest import RUNS, Workspace, ingest_file, read_table
 from ..operators.mapping import Profile
 
 FILES_PER_TRIGGER = 10
@@ -37,26 +38,64 @@ def local_name(path: str) -> str:
     return unquote(parts.path) if parts.scheme == "file" else path
 
 
+def fixed_part(folder: str) -> str:
+    """The folders before the first pattern of a path."""
+    parts = folder.rstrip("/").split("/")
+    cut = next((i for i, p in enumerate(parts) if any(c in p for c in "*?[{")), len(parts))
+    return "/".join(parts[:cut])
+
+
+def identified(files: DataFrame, folder: str) -> DataFrame:
+    """Listed files with ``batch``: the path under the drop folder, and when it was written in microseconds.
+
+    The same for a replay; another for a file of that name in another folder, and for a file
+    that comes again under the same name.
+    """
+    root = F.lit(quote(local_name(fixed_part(folder)), safe="/:@!$&'()*+,;=~") + "/")
+    place = F.instr("path", root)
+    name = F.when(place > 0, F.substr("path", place + F.length(root))).otherwise(F.col("path"))
+    return files.select("path", "modificationTime", F.concat(name, F.lit("@"), F.unix_micros("modificationTime").cast("string")).alias("batch"))
+
+
+def _take(files: DataFrame, work: Workspace, profile: Profile, batch_date: dt.date, rules) -> int:
+    """Ingest identified files in the order of their times; one row a file comes to the driver."""
+    n = 0
+    for row in files.orderBy("modificationTime", "path").toLocalIterator():
+        ingest_file(files.sparkSession, work, profile, local_name(row["path"]), row["batch"], batch_date, rules=rules)
+        n += 1
+    return n
+
+
 def drop_ingest(spark: SparkSession, folder: str, work: Workspace, profile: Profile,
                 batch_date: dt.date, checkpoint: str, pattern: str = "*.csv",
                 limit: int = FILES_PER_TRIGGER, archive: str | None = None,
                 rules=()) -> StreamingQuery:
     """Ingest every waiting file, then stop; restart to pick up later ones.
 
-    The checkpoint remembers which files were taken.  A batch id comes from the
-    file name, so a micro-batch replayed after a failure rewrites the same batch.
+    The checkpoint remembers which paths were taken, ``limit`` bounds the files of a micro-batch
+    that is planned from now on, and a micro-batch that is replayed takes all its files, however
+    many, into the same batches.  A file that comes again under a path that was taken is not new
+    to a stream: ``poll`` finds it.
     """
 
     def each(files: DataFrame, epoch: int) -> None:
-        session = files.sparkSession
-        waiting = files.orderBy("modificationTime", "path").limit(limit).collect()
-        for row in waiting:
-            path = local_name(row["path"])
-            name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            ingest_file(session, work, profile, path, name, batch_date, rules=rules)
+        _take(identified(files, folder), work, profile, batch_date, rules)
 
     return (
         arrivals(spark, folder, pattern, limit, archive).writeStream
-        .foreachBatch(each).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .foreachBatch(each)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def poll(spark: SparkSession, folder: str, work: Workspace, profile: Profile, batch_date: dt.date,
+         pattern: str = "*.csv", rules=()) -> int:
+    """Ingest the files that no run of this firm has recorded, by path and time; returns how many.
+
+    The run log is the memory, so a file that replaces one of the same name is taken too.
+    """
+    listed = spark.read.format("binaryFile").schema(_FILE).option("pathGlobFilter", pattern).option(
+        "recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
+    done = read_table(spark, work.table("runs"), f"{RUNS}, key string").where(F.col("firm_id") == profile.firm_id).select(F.col("key").alias("taken"))
+    fresh = identified(listed, folder).join(done, F.col("batch") == F.col("taken"), "left_anti")
+    return _take(fresh, work, profile, batch_date, rules)
