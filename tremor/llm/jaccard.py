@@ -9,10 +9,10 @@ two, then by hash, so what many documents share falls out of the prefixes.
    one set are one class; its least doc_id stands for it.
 2. A second pass sends the prefix of one document a class and task.  A shingle whose bucket is
    far above the mean is dealt to several tasks.  Shingles that only one document has go.
-3. Candidates are found in two rounds.  The first pairs, for each prefix shingle and band of
-   set sizes, the smallest set with the others, so a group of k near copies costs about k
-   pairs.  The second pairs what the first left in different components; pairs within a
-   component can't change it.  The filters apply to each, and each pair is verified once.
+3. Candidates are found in rounds.  In up to STAR_ROUNDS of them each prefix shingle pairs one
+   set of its largest component so far with the sets outside of it, so a group of k near copies
+   costs some k pairs.  The last round pairs all that is still in different components; pairs
+   within a component can't change it.  The filters apply to each, and each pair is verified once.
 
 So the links found span the same components as all links would.  Verification compares whole
 sets of 64-bit hashes.  ``components`` then gives the least doc_id in reach.
@@ -40,6 +40,8 @@ BUCKET_BITS = 20
 # A shingle whose bucket exceeds both this and HOT_FACTOR times the mean is dealt to several tasks.
 HOT_ROWS = 20_000
 HOT_FACTOR = 8
+# Rounds in which a list's sets meet one set of its largest component, before all the rest meet.
+STAR_ROUNDS = 3
 # Cells of the suffix filter.
 CELLS = 64
 
@@ -167,25 +169,39 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def first_round(lists: DataFrame) -> DataFrame:
-    """Pairs of the smallest set of each shingle and size band with the band's others."""
-    banded = lists.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))))
-    lead = banded.groupBy("gram", "band").agg(F.min(F.struct("n", "node", "pos")).alias("l")).select(
-        "gram", "band", F.col("l.n").alias("n"), F.col("l.node").alias("node"), F.col("l.pos").alias("pos"))
-    joined = banded.alias("x").join(lead.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
-                                    & (F.col("x.node") != F.col("y.node")) & _possible("x", "y"))
+def parted(lists: DataFrame, placed: DataFrame) -> DataFrame:
+    """The lists that several components still share, with each row's component ``c`` and size band."""
+    known = lists.select("gram", "node", "n", "pos").join(placed, "node", "left").select(
+        "gram", "node", "n", "pos", F.coalesce("component", "node").alias("c"), F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int").alias("band"))
+    several = known.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("gram")
+    return written(known.join(several, "gram"), "lists")
+
+
+def star_round(lists: DataFrame, turn: int) -> DataFrame:
+    """Pairs of one set of each list's largest component with the list's sets outside of it.
+
+    That one is the first by a hash of its id and the turn, so the lists of a group of near
+    copies agree on few, and every turn on others.  Lists are led by size bands; a set meets
+    the leads of its own band and the next.
+    """
+    first = F.xxhash64("node", F.lit(turn))
+    parts = lists.groupBy("gram", "band", "c").agg(F.count("*").alias("size"), F.min(F.struct(first.alias("h"), "node", "n", "pos")).alias("lead"))
+    leads = parts.groupBy("gram", "band").agg(F.max_by(F.struct("lead", "c"), F.struct("size", F.col("lead.h"))).alias("m")).select(
+        "gram", "band", F.col("m.c").alias("c"), *(F.col(f"m.lead.{k}").alias(k) for k in ("node", "n", "pos")))
+    meets = lists.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    joined = meets.alias("x").join(leads.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
+                                   & (F.col("x.c") != F.col("y.c")) & _possible("x", "y"))
     return _ordered(joined.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")))
 
 
-def second_round(lists: DataFrame, placed: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of a list that lie in different components: those outside its largest one with all others."""
-    known = lists.join(placed, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    by_part = known.groupBy("gram", "c").count().groupBy("gram").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts"))
-    split = known.join(by_part.filter("parts > 1"), "gram")
+def last_round(lists: DataFrame) -> DataFrame:
+    """All pairs of a list that lie in different components: those outside its largest one with all others."""
+    mains = lists.groupBy("gram", "c").count().groupBy("gram").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    split = lists.join(mains, "gram")
     few, all_ = split.filter("c <> main").alias("x"), split.alias("y")
     once = (F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     joined = few.join(all_, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & once & _possible("x", "y"))
-    return _ordered(joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).join(tried, ["a", "b"], "left_anti")
+    return _ordered(joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
 def needed_overlap(na: int, nb: int) -> int:
@@ -207,8 +223,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets reach the similarity."""
-    pairs = written(pairs, "pairs")
+    """The written pairs ``a, b`` whose whole sets reach the similarity."""
     nodes = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "paired")
     if nodes.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
@@ -246,10 +261,17 @@ def linked(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame, DataF
     lists = written(mapped(dealt, shared_only, _LIST), "lists")
     lists = written(lists.join(of_doc.groupBy("doc_id").agg(F.min("rep").alias("rep")).withColumnRenamed("doc_id", "node"), "node")
                     .groupBy("gram", F.col("rep").alias("node"), "n").agg(F.min("pos").alias("pos")), "lists")
-    tried = written(first_round(lists), "tried")
-    links = verified(docs, tried, words)
-    more = verified(docs, second_round(lists, components(links), tried), words)
-    return known, of_doc, links.unionByName(more)
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    links, tried, turn, more = none, none, 0, True
+    while more:
+        lists = parted(lists, components(links))
+        more = turn < STAR_ROUNDS
+        pairs = written((star_round(lists, turn) if more else last_round(lists)).join(tried, ["a", "b"], "left_anti"), "tried")
+        found = verified(docs, pairs, words)
+        if more and found.isEmpty():
+            turn = STAR_ROUNDS - 1  # stars find no more: what is left takes all pairs
+        links, tried, turn = links.unionByName(found), tried.unionByName(pairs), turn + 1
+    return known, of_doc, links
 
 
 def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
