@@ -12,8 +12,6 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF
 
-# Expensive end-to-end queries run in their own tests.
-SLOW = {"stream_drop_ingest", "ingest_gate", "batch_manifest", "rollup_all"}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +30,8 @@ def plain(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SLOW))
+# The queries of the optional subpackage have their own tests.
+@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if n not in E.LLM_QUERIES))
 def test_query_matches_sql(spark, duck, name):
     frame = E.queries()[name](spark, SF)
     cursor = duck.execute(E.oracle_sql()[name])
