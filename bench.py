@@ -100,9 +100,10 @@ def main() -> None:
         "drill_one_node": ask(stored, "firm", "desk", "account", path=(("firm", "ASIA"),)),
         "leaf_page": ask(stored, "account", path=(("account", "Customer#000000255"),)),
         "totals": lambda: totals(frame, PivotRequest(("desk",))).collect(),
+        "totals_from_rollup": lambda: rolled.totals(PivotRequest(("desk",))).collect(),
         "one_scenario": lambda: frame.groupBy("sector").agg(F.sum("s022")).collect(),
         "rollup_sector": ask(rolled, "sector"),
-        "tree_three_levels": lambda: flatten(frame, PivotRequest(("firm", "desk", "account")), 3).collect(),
+        "tree_three_levels": lambda: flatten(frame, PivotRequest(("firm", "desk", "account")), 3, 500).collect(),
         "map_and_validate": lambda: findings(
             apply_profile(read_source(spark, export), profile(), BATCH_DATE)).collect(),
         "reprice_cold_book_20": lambda: drain(scenario_pnl(
