@@ -110,6 +110,16 @@ def as_table(spark: SparkSession, index: Directory) -> DataFrame:
     return spark.createDataFrame(list(enumerate(index.slots)), "slot int, bucket int")
 
 
+def bucketed(keys: DataFrame, index: Directory, slots: DataFrame) -> DataFrame:
+    """``keys`` with the bucket of each: that of the slot that its leading bits name.
+
+    The directory has at most ``2 ** max_depth`` slots, so it is broadcast.
+    """
+    if not index.depth:
+        return keys.withColumn("bucket", F.lit(0))
+    return keys.withColumn("slot", prefix("key", index.depth)).join(F.broadcast(slots), "slot").drop("slot")
+
+
 def chained(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int | None], list[bool]]]:
     """For rows sorted by key: the doc_id of each row's link, and whether the row began it."""
     key, links = None, []
@@ -178,7 +188,7 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     as_table(spark, index).coalesce(1).write.parquet(f"{path}/directory")
     slots = spark.read.schema("slot int, bucket int").parquet(f"{path}/directory")
     # One row for each doc_id and key that others share, with the bucket and the parts of its key.
-    several = keys.filter("n > 1").withColumn("slot", prefix("key", index.depth)).join(F.broadcast(slots), "slot").select(
+    several = bucketed(keys.filter("n > 1"), index, slots).select(
         "key", "bucket", F.ceil(F.col("n") / part_rows).cast("int").alias("salts"))
     every.select("doc_id", "key").join(several, "key").distinct().write.parquet(f"{path}/shared")
     shared = spark.read.parquet(f"{path}/shared")

@@ -96,7 +96,7 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
         if count >= words:
             out.append(np.unique(whole[at:at + count - words + 1]))
         elif count:
-            out.append(mix((h[at:at + count] * _PLACES[:count]).sum(keepdims=True) + np.uint64(count) * _PLACES[6]))
+            out.append(mix((h[at:at + count] * _PLACES[:count]).sum(keepdims=True) + _PLACES[6:] * np.array([count], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
         at += count
