@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,7 +16,9 @@ from ..session import BROADCAST_ROWS, written
 
 # A task takes at most this many texts in hand at once, and closes a hand early at this many characters.
 HAND_ROWS = 256
-HAND_CHARS = 4_000_000
+HAND_CHARS = 2_000_000
+# Rows of an Arrow batch on its way to a task's Python and back.
+BATCH_ROWS = 2_000
 # Parts of an array of counts that travel as rows of their own.
 CHUNKS = 64
 
@@ -44,9 +48,29 @@ def _lengths(column: pa.Array) -> list[int | None]:
     return pc.binary_length(column).to_pylist()
 
 
-def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` over whole partitions; the function gets and gives record batches."""
-    return df.mapInArrow(function, schema)
+def mapped(df: DataFrame, function: Callable, schema: str, tokens: bool = False) -> DataFrame:
+    """``mapInArrow`` over whole partitions; the function gets and gives record batches.
+
+    Batches hold whole texts, so they get fewer rows than Spark would give them.  Workers serve
+    one operator after the other: unless the function encodes ``tokens``, it first frees what an
+    earlier one has remembered of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tokens:
+            forget()
+        return function(batches)
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def forget() -> None:
+    """Drop the encoders of this worker, if it has any."""
+    module = sys.modules.get(f"{__package__}.tokens")
+    if module is not None and module.encoder.cache_info().currsize:
+        module.encoder.cache_clear()
+        gc.collect()
 
 
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:

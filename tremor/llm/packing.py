@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH) -
                 rows += [(doc_id, i, at, n, zlib.crc32(raw[4 * at:4 * (at + n)])) for i, (at, n) in enumerate(cut(len(raw) // 4, length))]
             yield record(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    return mapped(docs.select("doc_id", "text"), run, _PIECE)
+    return mapped(docs.select("doc_id", "text"), run, _PIECE, tokens=True)
 
 
 class Packer:

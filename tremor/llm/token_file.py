@@ -91,7 +91,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             ids = np.frombuffer(b"".join(parts), dtype="<u4").astype(width)
             yield record(schema, doc_id=batch.column("doc_id"), ids=_binary(ids, np.cumsum(counts) * ids.itemsize))
 
-    return mapped(docs.select("doc_id", "text"), run, _IDS)
+    return mapped(docs.select("doc_id", "text"), run, _IDS, tokens=True)
 
 
 def id_width(path: str) -> str:
