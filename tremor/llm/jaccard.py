@@ -171,8 +171,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def parted(lists: DataFrame, placed: DataFrame) -> DataFrame:
     """The lists that several components still share, with each row's component ``c`` and size band."""
-    known = lists.select("gram", "node", "n", "pos").join(placed, "node", "left").select(
-        "gram", "node", "n", "pos", F.coalesce("component", "node").alias("c"), F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int").alias("band"))
+    known = lists.select("gram", "node", "n", "pos", "shared").join(placed, "node", "left").select(
+        "gram", "node", "n", "pos", "shared", F.coalesce("component", "node").alias("c"), F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int").alias("band"))
     several = known.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("gram")
     return written(known.join(several, "gram"), "lists")
 
@@ -180,13 +180,15 @@ def parted(lists: DataFrame, placed: DataFrame) -> DataFrame:
 def star_round(lists: DataFrame, turn: int) -> DataFrame:
     """Pairs of one set of each list's largest component with the list's sets outside of it.
 
-    That one is the first by a hash of its id and the turn, so the lists of a group of near
-    copies agree on few, and every turn on others.  Lists are led by size bands; a set meets
-    the leads of its own band and the next.
+    On the first turn that is the set of the most shared shingles: among near copies the one with
+    the fewest edits of its own, to which most are similar.  On later turns it is the first by a
+    hash of its id and the turn.  So the lists of a group agree on few, and every turn on others.
+    Lists are led by size bands; a set meets the leads of its own band and the next.
     """
     first = F.xxhash64("node", F.lit(turn))
+    first = F.struct((F.lit(0) if turn else -F.col("shared")).alias("s"), first.alias("h"))
     parts = lists.groupBy("gram", "band", "c").agg(F.count("*").alias("size"), F.min(F.struct(first.alias("h"), "node", "n", "pos")).alias("lead"))
-    leads = parts.groupBy("gram", "band").agg(F.max_by(F.struct("lead", "c"), F.struct("size", F.col("lead.h"))).alias("m")).select(
+    leads = parts.groupBy("gram", "band").agg(F.max_by(F.struct("lead", "c"), F.struct("size", F.struct(-F.col("lead.h.s"), -F.col("lead.h.h")))).alias("m")).select(
         "gram", "band", F.col("m.c").alias("c"), *(F.col(f"m.lead.{k}").alias(k) for k in ("node", "n", "pos")))
     meets = lists.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     joined = meets.alias("x").join(leads.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
@@ -261,6 +263,10 @@ def linked(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame, DataF
     lists = written(mapped(dealt, shared_only, _LIST), "lists")
     lists = written(lists.join(of_doc.groupBy("doc_id").agg(F.min("rep").alias("rep")).withColumnRenamed("doc_id", "node"), "node")
                     .groupBy("gram", F.col("rep").alias("node"), "n").agg(F.min("pos").alias("pos")), "lists")
+    # How many of a set's prefix shingles (a fifth of it) others share, in thousandths.
+    shares = lists.groupBy("node", "n").agg(F.count("*").alias("k")).select(
+        "node", "n", F.floor(5000 * F.col("k") / F.col("n")).cast("int").alias("shared"))
+    lists = lists.join(shares, ["node", "n"])
     none = docs.sparkSession.createDataFrame([], "a long, b long")
     links, tried, turn, more = none, none, 0, True
     while more:
