@@ -41,7 +41,7 @@ BUCKET_BITS = 20
 HOT_ROWS = 20_000
 HOT_FACTOR = 8
 # Rounds in which a list's sets meet one set of its largest component, before all the rest meet.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 # Cells of the suffix filter.
 CELLS = 64
 

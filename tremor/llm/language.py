@@ -30,7 +30,7 @@ BITS = 17
 SCALE = 64.0
 ORDERS = 3
 # Labelled documents a language that the weights are learned from.
-ROWS = 1_500
+ROWS = 1_000
 UNKNOWN = "und"
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -125,7 +125,7 @@ class Ftrl:
         p = np.exp(z - z.max())
         p /= p.sum()
         p[label] -= 1
-        g = values[:, None] * p
+        g = values[:, None].astype(np.float64) * p
         step = (np.sqrt(self.n[rows] + g * g) - np.sqrt(self.n[rows])) / self.alpha
         self.z[rows] += g - step * w
         self.n[rows] += g * g
@@ -159,8 +159,10 @@ def fit(docs: DataFrame, rows: int = ROWS, epochs: int = 4, seed: int = 7) -> Mo
     size, k = 1 << BITS, len(languages)
     cases = []
     for lang, _, grams, shares in got:
-        g = np.frombuffer(grams, dtype="<u4").astype(np.int64)
-        cases.append((np.append(g, size), np.append(np.frombuffer(shares, dtype="<f4") * idf[g], 1.0), languages.index(lang)))
+        g = np.frombuffer(grams, dtype="<u4").astype(np.int32)
+        values = np.append(np.frombuffer(shares, dtype="<f4") * idf[g], 1.0).astype(np.float32)
+        cases.append((np.append(g, np.int32(size)), values, languages.index(lang)))
+    del got
     order = np.random.default_rng(seed).permutation(len(cases))
     aside, used = order[::5], np.setdiff1d(order, order[::5], assume_unique=True)
     leader = Ftrl(size + 1, k)

@@ -20,8 +20,8 @@ from functools import lru_cache
 import numpy as np
 
 # Bound on remembered chunks and pieces of a worker, and on the length of what is remembered.
-CHUNKS = 300_000
-PIECES = 200_000
+CHUNKS = 200_000
+PIECES = 120_000
 LONGEST = 48
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
