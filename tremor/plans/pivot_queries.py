@@ -356,14 +356,15 @@ def q_template_select(spark, d):
     template = ColumnTemplate("t", (*base.columns, TemplateColumn("absent", price=9.0, vol=0.0)))
     rows = pivot(batch(spark, d), PivotRequest(("underlying",), measures=template.measures())).rows
     out = select_template(rows, template, GRID, ("underlying",))
-    names = ("nlv", "size", "down2", "down1", "up1", "up2", "max_risk", "absent")
+    names = ("nlv", "size", "down2", "down1", "up1", "up2", "delta", "gamma", "vega", "theta", "max_risk", "absent")
     renamed = out.toDF("underlying", *names, "missing_columns")
     return rounded(renamed.withColumn("missing_columns", F.concat_ws(",", "missing_columns")), 0)
 
 
 S_TEMPLATE_SELECT = Q.with_batch(f"""SELECT underlying, {Q.rounded('market_value', 0, 'nlv')},
   {Q.rounded('und_qty', 0, 'size')}, {Q.rounded('s002', 0, 'down2')}, {Q.rounded('s007', 0, 'down1')},
-  {Q.rounded('s012', 0, 'up1')}, {Q.rounded('s017', 0, 'up2')}, {Q.rounded('worst', 0, 'max_risk')},
+  {Q.rounded('s012', 0, 'up1')}, {Q.rounded('s017', 0, 'up2')}, {', '.join(Q.rounded(g, 0, g) for g in ('delta', 'gamma', 'vega', 'theta'))},
+  {Q.rounded('worst', 0, 'max_risk')},
   NULL::DOUBLE AS absent, 'absent' AS missing_columns
 FROM (SELECT *, {Q.WORST} AS worst FROM (SELECT underlying, {Q.sums()} FROM batch GROUP BY underlying))""")
 
