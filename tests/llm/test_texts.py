@@ -197,3 +197,60 @@ def test_licenses_of_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in licenses.scan_licenses(docs).collect():
         assert r["licenses"] == ",".join(sorted(v for k, v in lines.items() if k in texts[r["doc_id"]]))
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Jo Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_FILE = """Redistribution and use in source and
+binary forms, with or without
+modification, are
+permitted provided that the
+following conditions are met:
+"""
+ISC_FILE = """Permission to use, copy, modify, and/or distribute this
+software for any
+purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all
+copies.
+"""
+
+
+def test_wrapped_licence_files():
+    for name, text in {"MIT": MIT_FILE, "BSD": BSD_FILE, "ISC": ISC_FILE}.items():
+        for t in (text, re.sub("(?m)^", " * ", text), text.replace(" ", "\n")):
+            assert [f.license for f in licenses.scan("Some words before.\n" + t + "Some words after.")] == [name]
+    assert [f.license for f in licenses.scan("All rights\nreserved.")] == ["Proprietary"]
+    assert all(any(licenses._at(list(n), m) for m in t.marks) for t in licenses.templates()[0] for n in t.notices)
+
+
+def test_every_licence_of_a_block_is_found():
+    notices = [(name, " ".join(n.split())) for name, (ns, _) in licenses.TEMPLATES.items() for n in ns]
+    for k in range(len(notices)):
+        some = [notices[(k + j) % len(notices)] for j in range(7)]
+        assert {n for n, _ in some} <= {f.license for f in licenses.scan(" ".join(t for _, t in some))}
+
+
+def test_a_licence_behind_many_parts_of_others_is_found():
+    """Parts of long notices save more than the short notice that stands there, and confirm nothing."""
+    long_ = [max(ns, key=len).split() for ns, _ in licenses.TEMPLATES.values()]
+    parts = " ".join(" ".join(n[:3 * len(n) // 5]) for n in long_ if len(n) > 15)
+    assert "MPL-2.0" in {f.license for f in licenses.scan(parts + " xx SPDX-License-Identifier: MPL-2.0")}
+
+
+def test_a_long_block_gives_each_place_once():
+    lead = " ".join(f"license{i}" for i in range(5_000)).split()
+    for at in range(0, 1_000, 37):
+        found = licenses.scan(" ".join([*lead[:at], MIT_FILE, *lead[at:]]))
+        assert [(f.license, f.differences) for f in found] == [("MIT", "")]

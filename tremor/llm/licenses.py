@@ -6,16 +6,19 @@ are ranked by that reduction.  The best ones are confirmed by wording: a notice
 is aligned with the block word by word, its marks (names and versions) must stand there
 exactly, and the words that differ may be few; they are returned.
 
-A block is a run of sentences or lines in which each lies at most ``GAP`` pieces from one with a
-trigger word; every trigger of a text is in a block, and blocks longer than ``BLOCK`` words are
-cut with an overlap of a template's length.  Null texts count as empty, documents without a
-licence have zero findings; a null doc_id stays null, repeated rows are each scanned, further
+A block is a run of words in which each lies no farther from a trigger than the longest notice
+and its differing words reach; line breaks and signs only part words.  So a notice is in one block
+however its lines are wrapped.  Blocks longer than ``BLOCK`` words are cut with an overlap of twice
+the longest notice; of what is found in two cuts, the place with fewer differing words counts.
+Every template whose marks stand in a block is tried.  Null texts count as empty, documents without
+a licence have zero findings; a null doc_id stays null, repeated rows are each scanned, further
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -25,11 +28,8 @@ from pyspark.sql import DataFrame
 
 from .common import hands, mapped, record
 
-# Bytes that a template must save, and how many of the best templates are compared word by word.
-LEAST_SAVED = 4
-RANKED = 5
+# Share of a notice's words that may be replaced, words of a block.
 DIFFERING = 0.12
-GAP = 1
 BLOCK = 600
 
 # Public licence notices.  For each licence the notices, and the marks of which one must stand word for word.
@@ -72,8 +72,7 @@ TEMPLATES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "Proprietary": (("All rights reserved.", "Copyright. All rights reserved."), ("all rights reserved",)),
 }
 
-_TRIGGER = re.compile(r"licen[cs]|copyright|all rights reserved|spdx|permission|redistribut|public domain|creative commons|\bCC[ -]?(?:BY|0)", re.I)
-_PIECE = re.compile(r"[^\n]*?(?:[.!?:;](?=\s)|\n|\Z)", re.S)
+_TRIGGER = re.compile(r"licen[cs]|copyright|all[\W_]+rights[\W_]+reserved|spdx|permission|redistribut|public[\W_]+domain|creative[\W_]+commons|\bCC[\W_]?(?:BY|0)", re.I)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -102,62 +101,76 @@ def templates() -> tuple[tuple[Template, ...], object]:
     return tuple(out), zstandard.ZstdCompressor(level=9, write_content_size=False)
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Where the candidate blocks of a text lie."""
-    if not _TRIGGER.search(text):
-        return []
-    pieces = [m.span() for m in _PIECE.finditer(text) if m.end() > m.start()]
-    marked = [i for i, (a, b) in enumerate(pieces) if _TRIGGER.search(text, a, b)]
+@lru_cache(maxsize=1)
+def longest() -> int:
+    """Words of the longest notice."""
+    return max(len(n) for t in templates()[0] for n in t.notices)
+
+
+def blocks(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """First word and end of the candidate blocks, of a text whose words lie at ``places``."""
+    starts, reach = [a for a, _ in places], longest() + int(2 * DIFFERING * longest())
     out: list[list[int]] = []
-    for i in marked:
-        first, last = max(0, i - GAP), min(len(pieces) - 1, i + GAP)
+    for m in _TRIGGER.finditer(text):
+        i = bisect_right(starts, m.start()) - 1
+        first, last = max(0, i - reach), min(len(places), i + reach + 1)
         if out and first <= out[-1][1]:
             out[-1][1] = last
         else:
             out.append([first, last])
-    return [cut for a, b in out for cut in _cut(text, pieces[a][0], pieces[b][1])]
+    return [cut for a, b in out for cut in _cut(a, b)]
 
 
-def _cut(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    places = [m.span() for m in _WORD.finditer(text, start, end)]
-    longest = max(len(n) for t in templates()[0] for n in t.notices)
-    if len(places) <= BLOCK:
-        return [(start, end)] if places else []
-    return [(places[i][0], places[min(i + BLOCK, len(places)) - 1][1]) for i in range(0, max(1, len(places) - 2 * longest), BLOCK - 2 * longest)]
+def _cut(start: int, end: int) -> list[tuple[int, int]]:
+    overlap = 2 * longest()
+    if end - start <= BLOCK:
+        return [(start, end)]
+    return [(i, min(i + BLOCK, end)) for i in range(start, end - overlap, BLOCK - overlap)]
 
 
 def ranked(block: list[str]) -> list[tuple[int, Template]]:
-    """Templates by the bytes that the block loses with them at hand."""
-    raw = " ".join(block).encode()
+    """Templates whose marks stand in the block, by the bytes that the block loses with them at hand."""
     prepared, plain = templates()
+    able = [t for t in prepared if any(_at(block, m) for m in t.marks)]
+    if not able:
+        return []
+    raw = " ".join(block).encode()
     size = len(plain.compress(raw))
-    found = [(size - len(t.compressor.compress(raw)), t) for t in prepared]
-    return sorted((f for f in found if f[0] >= LEAST_SAVED), key=lambda f: (-f[0], f[1].name))
+    return sorted(((size - len(t.compressor.compress(raw)), t) for t in able), key=lambda f: (-f[0], f[1].name))
 
 
-def _holds(block: list[str], mark: tuple[str, ...]) -> bool:
-    return any(tuple(block[i:i + len(mark)]) == mark for i in range(len(block) - len(mark) + 1) if block[i] == mark[0])
+def _at(block: list[str], mark: tuple[str, ...]) -> list[int]:
+    """Where the words of a mark stand."""
+    n, out, i = len(mark), [], -1
+    try:
+        while True:
+            i = block.index(mark[0], i + 1)
+            if tuple(block[i:i + n]) == mark:
+                out.append(i)
+    except ValueError:
+        return out
 
 
 def confirmed(block: list[str], template: Template) -> tuple[int, int, list[str]] | None:
     """First and last word of the notice in the block, and the wording that differs; none if no notice stands there."""
     best = None
+    places = {m: _at(block, m) for m in template.marks}
     for notice in template.notices:
-        matcher = SequenceMatcher(None, block, notice, autojunk=False)
-        same = [m for m in matcher.get_matching_blocks() if m.size]
-        if not same:
-            continue
-        # The longest common run fixes where the notice would lie.
-        lead = max(same, key=lambda m: m.size)
-        first = max(0, lead.a - lead.b)
-        part = block[first:first + len(notice)]
-        steps = [s for s in SequenceMatcher(None, part, notice, autojunk=False).get_opcodes() if s[0] != "equal"]
-        differ = [f"-{w}" for _, _, _, c, d in steps for w in notice[c:d]] + [f"+{w}" for _, a, b, _, _ in steps for w in part[a:b]]
-        if len(differ) > 2 * DIFFERING * len(notice) or not any(_holds(part, m) for m in template.marks):
-            continue
-        case = (-len(notice) + len(differ), first, first + len(part), differ)
-        if best is None or case[:2] < best[:2]:
-            best = case
+        lead = SequenceMatcher(None, block, notice, autojunk=False).find_longest_match()
+        # The longest common run, and each mark, fix where the notice would lie.
+        firsts = {max(0, lead.a - lead.b)} if lead.size else set()
+        firsts |= {max(0, i - k) for m, found in places.items() for k in _at(list(notice), m) for i in found}
+        for first in sorted(firsts):
+            part = block[first:first + len(notice)]
+            if not any(_at(part, m) for m in template.marks):
+                continue
+            steps = [s for s in SequenceMatcher(None, part, notice, autojunk=False).get_opcodes() if s[0] != "equal"]
+            differ = [f"-{w}" for _, _, _, c, d in steps for w in notice[c:d]] + [f"+{w}" for _, a, b, _, _ in steps for w in part[a:b]]
+            if len(differ) > 2 * DIFFERING * len(notice):
+                continue
+            case = (-len(notice) + len(differ), first, first + len(part), differ)
+            if best is None or case[:2] < best[:2]:
+                best = case
     return best[1:] if best else None
 
 
@@ -172,22 +185,26 @@ class Finding:
 
 def scan(text: str | None) -> list[Finding]:
     """The licences of a whole text in order, each place once."""
-    out: dict[tuple[str, int, int], Finding] = {}
-    for start, end in blocks(text or ""):
-        places = [(m.start(), m.end()) for m in _WORD.finditer(text, start, end)]
+    text = text or ""
+    if not _TRIGGER.search(text):
+        return []
+    every = [m.span() for m in _WORD.finditer(text)]
+    found: list[tuple[int, int, Finding]] = []
+    for cut, (start, end) in enumerate(blocks(text, every)):
+        places = every[start:end]
         left = [text[a:b].lower() for a, b in places]
         while True:  # several notices may stand in one block
-            found = None
-            for saved, template in ranked(left)[:RANKED]:
-                if found := confirmed(left, template):
-                    break
-            if not found:
+            hit = next(((saved, t, c) for saved, t in ranked(left) if (c := confirmed(left, t))), None)
+            if hit is None:
                 break
-            first, last, differ = found
-            f = Finding(template.name, places[first][0], places[last - 1][1], saved, " ".join(differ))
-            out.setdefault((f.license, f.start, f.end), f)
+            saved, template, (first, last, differ) = hit
+            found.append((len(differ), cut, Finding(template.name, places[first][0], places[last - 1][1], saved, " ".join(differ))))
             left[first:last] = [""] * (last - first)  # taken; what is left is looked at again
-    return sorted(out.values(), key=lambda f: (f.start, f.license, f.end))
+    out: list[tuple[int, Finding]] = []
+    for _, cut, f in sorted(found, key=lambda x: (x[0], x[1])):
+        if all(c == cut or f.end <= o.start or o.end <= f.start for c, o in out):  # else another cut has it
+            out.append((cut, f))
+    return sorted((f for _, f in out), key=lambda f: (f.start, f.license, f.end))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
