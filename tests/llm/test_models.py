@@ -66,6 +66,29 @@ def test_quality_held_out_accuracy(spark, edges, none):
     assert {r["score"] for r in quality_rank.rank(edges, labels.limit(0)).collect()} == {0.5}
 
 
+def test_threshold_is_of_all_training_rows(spark):
+    """Learned from a few rows, the share predicted 0 among all labelled training rows is still that of label 0."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = quality_rank.written(quality_rank.measured(docs), "measures")
+    usable = quality_rank.learnable(labels)
+    for rows in (8, 20):
+        ranker = quality_rank.trained(known, labels, rows)
+        got = known.join(usable, "doc_id").collect()
+        raw = np.sort(ranker.raw(np.array([r["measures"] for r in got])))
+        zeros = sum(r["quality"] == 0 for r in got)
+        assert ranker.threshold == (raw[zeros - 1] + raw[zeros]) / 2
+        assert abs(4 * ranker.scale - raw.std()) < 1e-6 * raw.std()
+
+
+def test_order_statistics(spark, monkeypatch):
+    monkeypatch.setattr(quality_rank, "SORTED", 3)
+    draw = np.random.default_rng(4)
+    values = [*np.round(draw.normal(size=500), 1).tolist(), *(1e-12 * draw.normal(size=200)).tolist(), 1e9, -1e9]
+    raw = spark.createDataFrame([(v,) for v in values], "raw double").cache()
+    for at in (0, 1, 250, 350, 400, 600, len(values) - 1):
+        assert quality_rank.order_statistic(raw, at) == sorted(values)[at]
+
+
 def test_ranker_orders_preferences():
     draw = np.random.default_rng(2)
     values = draw.normal(size=(400, len(quality_rank.MEASURES)))

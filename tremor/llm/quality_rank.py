@@ -7,7 +7,8 @@ middle value may be best.  A document's raw score is its weighted sum, and the t
 quantile of the training scores at the share of documents labelled 0: score 0.5.
 
 Measures are worked out once for all documents and written to the shared folder; at most
-``rows`` labelled documents of each label are learned from.
+``rows`` labelled documents of each label are learned from.  The threshold and the spread are those
+of all labelled documents of the training folds, at every size.
 
 Null and empty texts have measures of their own (no words) and are scored like others.  Rows
 that repeat a doc_id are each scored.  Null labels, and rows whose doc_id is null, are not
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ from .common import fold_of, hands, mapped, record
 ROWS = 4_000
 PAIRS = 20_000
 BINS = 10
+# An order statistic is found by counts in so many ranges, until at most so many values are left to sort.
+RANGES = 1_024
+SORTED = 10_000
 
 MEASURES = ("words", "word_length", "distinct", "echoed", "top_word", "symbols", "symbol_kinds_at_end", "stops", "bars", "bangs", "upper",
             "digits", "accented", "line_words", "repeated_lines", "repeated_pairs")
@@ -76,13 +80,18 @@ class Ranker:
     threshold: float
     scale: float
 
-    def vectors(self, values: np.ndarray) -> np.ndarray:
-        return binned(values, self.edges)
+    def raw(self, values: np.ndarray) -> np.ndarray:
+        """The weighted sums, added up in one order so that a row's sum doesn't depend on its batch."""
+        out, at = np.zeros(len(values)), 0
+        for i, e in enumerate(self.edges):
+            out += self.weights[at + np.searchsorted(e, values[:, i], side="right")]
+            at += len(e) + 1
+        return out
 
     def scores(self, values: np.ndarray) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(values), 0.5)
-        z = np.clip((self.vectors(values) @ self.weights - self.threshold) / self.scale, -40, 40)
+        z = np.clip((self.raw(values) - self.threshold) / self.scale, -40, 40)
         return 1 / (1 + np.exp(-z))
 
 
@@ -139,7 +148,47 @@ def trained(known: DataFrame, labels: DataFrame, rows: int = ROWS) -> Ranker:
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share_of).limit(4 * rows)
     got = sorted((r["doc_id"], r["quality"], tuple(r["measures"])) for r in known.join(chosen, "doc_id").collect())
     values = np.array([g[2] for g in got]).reshape(-1, len(MEASURES))
-    return fit(values, np.array([g[1] for g in got]), sizes.get(0, 0) / max(1, sum(sizes.values())))
+    ranker = fit(values, np.array([g[1] for g in got]), sizes.get(0, 0) / max(1, sum(sizes.values())))
+    return placed(ranker, known, usable) if len(ranker.weights) else ranker
+
+
+def placed(ranker: Ranker, known: DataFrame, usable: DataFrame) -> Ranker:
+    """The ranker with the threshold and scale of all labelled training documents."""
+    raw = written(mapped(known, _scorer(ranker.raw, "raw"), "doc_id long, raw double").join(usable, "doc_id").select("raw", "quality"), "raw")
+    zeros = raw.filter("quality = 0").count()
+    low = order_statistic(raw, zeros - 1)
+    above = raw.agg(F.count_if(F.col("raw") <= low), F.min(F.when(F.col("raw") > low, F.col("raw"))), F.stddev_pop("raw")).first()
+    high = low if above[0] > zeros or above[1] is None else above[1]
+    # The spread is summed up in any order: its last digits are left out.
+    return replace(ranker, threshold=(low + high) / 2, scale=max(1e-6, float(f"{above[2]:.9g}")) / 4)
+
+
+def order_statistic(raw: DataFrame, at: int) -> float:
+    """The value of column ``raw`` that ``at`` values come before, exactly, by counts in ever narrower ranges."""
+    low, high, n = raw.agg(F.min("raw"), F.max("raw"), F.count("raw")).first()
+    while low < high:
+        left = raw.filter(F.col("raw").between(low, high))
+        if n <= SORTED:
+            return sorted(r["raw"] for r in left.select("raw").collect())[at]
+        part = F.least(F.floor((F.col("raw") - low) / ((high - low) / RANGES)), F.lit(RANGES - 1))
+        for r in left.groupBy(part.alias("part")).agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.count("*").alias("n")).orderBy("part").collect():
+            if at < r["n"]:
+                low, high, n = r["low"], r["high"], r["n"]
+                break
+            at -= r["n"]
+    return low
+
+
+def _scorer(score, name: str):
+    schema = pa.schema([("doc_id", pa.int64()), (name, pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column("measures").flatten().to_numpy().reshape(-1, len(MEASURES))
+                yield record(schema, **{"doc_id": batch.column("doc_id"), name: pa.array(score(values))})
+
+    return run
 
 
 def held_out() -> Column:
@@ -150,13 +199,5 @@ def rank(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
     known = written(measured(docs), "measures")
     ranker = trained(known, labels, rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                values = batch.column("measures").flatten().to_numpy().reshape(-1, len(MEASURES))
-                yield record(schema, doc_id=batch.column("doc_id"), score=pa.array(ranker.scores(values)))
-
-    return mapped(known, run, "doc_id long, score double").select(
+    return mapped(known, _scorer(ranker.scores, "score"), "doc_id long, score double").select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
