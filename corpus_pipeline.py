@@ -1,4 +1,10 @@
-"""A training corpus from the documents table, in five stages, each reading what the one before it kept."""
+"""A training corpus from the documents table, in five stages, each reading what the one before it kept.
+
+Decisions fall on rows.  Where an operator compares rows, the stage gives each row a key of its own,
+written with the row, and the operator sees that in place of doc_id.  So rows with a null doc_id, and
+rows that repeat one, are each kept or dropped by their own text.  Of equal or similar rows the one of
+the smallest doc_id stays; a null doc_id comes after all others, rows of one doc_id in table order.
+"""
 
 from __future__ import annotations
 
@@ -11,30 +17,61 @@ from tremor.session import written
 
 # A document is rejected if its language is unknown or the prediction is less likely than this.
 LEAST_SCORE = 0.3
+# The column of row keys inside a stage.
+ROW = "corpus_row"
+
+
+def rowed(docs: DataFrame) -> DataFrame:
+    """The rows, each with its key, written so that every later look at them finds the same keys."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """What operators get: the row key as doc_id, and the text."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key isn't a doc_id of ``gone``, without the key."""
+    ids = rows.columns
+    held = rows.withColumnRenamed("doc_id", "corpus_doc_id").withColumnRenamed(ROW, "doc_id")
+    return keyed(held, gone, "left_anti").select(*(F.col("corpus_doc_id").alias("doc_id") if c == "doc_id" else c for c in ids if c != ROW))
+
+
+def others(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of ``doc_id, group`` by row key, the rows that aren't the first of their group."""
+    members = written(groups.join(rows.select(F.col(ROW).alias("doc_id"), F.col("doc_id").alias("own")), "doc_id"), "members")
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("doc_id"))
+    return members.select("doc_id").join(first, "doc_id", "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; texts without a letter, and those that could be anything, go."""
-    found = language.identify(docs).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return keyed(docs, found.select("doc_id"), "left_semi")
+    model = language.fit(language.learnable(docs).select("doc_id", "text", "lang"))
+    return language.told(docs, model, LEAST_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that of the smallest doc_id."""
-    kept = exact_dedup.exact_groups(docs).filter("kept").select("doc_id")
-    return keyed(docs, kept, "left_semi")
+    rows = rowed(docs)
+    groups = exact_dedup.exact_groups(by_row(rows)).filter("group_size > 1").select("doc_id", F.col("keep_id").alias("group"))
+    return without(rows, others(rows, groups))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component of similar documents."""
-    gone = jaccard.jaccard_components(docs).filter("component_id <> doc_id").select("doc_id")
-    return keyed(docs, gone, "left_anti")
+    """The row of the smallest doc_id of each component of similar documents."""
+    rows = rowed(docs)
+    found = jaccard.jaccard_components(by_row(rows))
+    several = found.filter("component_id <> doc_id").select("doc_id", F.col("component_id").alias("group"))
+    groups = several.unionByName(several.select(F.col("group").alias("doc_id"), "group").distinct())
+    return without(rows, others(rows, groups))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    gone = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return keyed(docs, gone, "left_anti")
+    rows = rowed(docs)
+    gone = decontaminate.contamination(by_row(rows), table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
+    return without(rows, gone)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,3 +130,30 @@ def test_pipeline_stages(spark):
         else:
             assert kept == {r[0] for r in brute_contamination(before, tests) if not r[5]}
         docs = out
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Rows with a null doc_id, and rows that repeat one, are each decided by their own text in every stage."""
+    from llm.edge import words
+
+    a, b, c, d, e = (words(60, 300 + k) for k in range(5))
+    passage = words(25, 400)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string"
+
+    def stage(name, rows):
+        docs = spark.createDataFrame([(i, t, "en", f"s{k}") for k, (i, t) in enumerate(rows)], schema).coalesce(1)
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        return sorted(int(r["source"][1:]) for r in out.collect())
+
+    # One row of each group: the least doc_id, null last, else the first; the rest go, whatever else their id holds.
+    assert stage("exact_dedup", [(5, a), (5, a), (5, b), (None, a), (None, c), (None, c), (7, b), (8, d), (8, a), (2, d)]) == [0, 2, 4, 9]
+    assert stage("near_dedup", [(None, a + " x y"), (None, b), (5, a), (5, c), (9, c + " z"), (None, d), (None, d + " x"), (4, e), (4, e + " q")]) == [1, 2, 3, 5, 7]
+    bad = f"{a} {passage} {b}"
+    assert stage("decontamination", [(None, bad), (None, a), (5, bad), (5, b), (6, c), (6, f"{c} {passage}"), (7, d)]) == [1, 3, 4, 6]
+    prose = [(i, r["text"]) for i, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").orderBy("doc_id").limit(40).collect())]
+    n = len(prose)
+    odd = [(None, "!!!"), (None, prose[0][1]), (3, "1234 ..."), (3, prose[3][1])]
+    kept = stage("language_id", prose + odd)
+    assert n not in kept and n + 2 not in kept and {n + 1, n + 3} <= set(kept)

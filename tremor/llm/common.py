@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import BROADCAST_ROWS, written
 
@@ -48,7 +49,7 @@ def _lengths(column: pa.Array) -> list[int | None]:
     return pc.binary_length(column).to_pylist()
 
 
-def mapped(df: DataFrame, function: Callable, schema: str, tokens: bool = False) -> DataFrame:
+def mapped(df: DataFrame, function: Callable, schema: str | StructType, tokens: bool = False) -> DataFrame:
     """``mapInArrow`` over whole partitions; the function gets and gives record batches.
 
     Batches hold whole texts, so they get fewer rows than Spark would give them.  Workers serve

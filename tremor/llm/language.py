@@ -207,6 +207,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
+def told(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """Whole rows whose text has a known language with at least that score; each row is judged by its own text."""
+
+    def run(batches):
+        for batch in hands(batches):
+            found = [model.predict(t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], type=pa.bool_()))
+
+    return mapped(docs, run, docs.schema)
+
+
 def held_out() -> Column:
     return F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
 
