@@ -171,6 +171,30 @@ def test_block_rules():
     assert html_text.main_text("<article><h2>A &amp; B</h2><p title=it's>Don't<p>x<br>y<script>if(a<b)</script></article>") == "A & B\nDon't\nx y"
 
 
+OTHERS = {
+    "ru": "Старый мельник жил у реки много лет, и каждое утро он выходил на берег смотреть, как вода несёт листья вниз по течению к морю.",
+    "zh": "老磨坊主在河边住了很多年，每天早上他都走到岸边，看着河水把落叶带向下游的大海。" * 3,
+    "ja": "古い水車小屋の主人は長年川のほとりに住んでいて、毎朝岸辺に出ては水が落ち葉を海へ運ぶのを眺めていた。" * 2,
+    "pl": "Stary młynarz mieszkał nad rzeką przez wiele lat, każdego ranka wychodził na brzeg patrzeć, jak woda niesie liście w dół ku morzu.",
+    "nl": "Elke ochtend liep hij langs het water naar zijn oude molen, want daar kon hij het beste nadenken over wat er vroeger gebeurd was.",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(OTHERS))
+def test_pages_in_other_languages_without_an_article(lang):
+    text = OTHERS[lang]
+    page = (f"<body><nav><a href=x>A</a></nav><div><h1>{text[:12]}</h1><p>{text}</p><p>{text[:20]}</p><div>{text}</div></div>"
+            f"<p><a href=y>{text}</a></p><div class=comments><p>{text}</p></div><footer>{text}</footer></body>")
+    assert html_text.main_text(page) == "\n".join([text[:12].strip(), text, text[:20].strip(), text])
+
+
+def test_stop_words_still_decide_in_known_languages():
+    story = "This is the story of a man who was in the house and the dog that was with him for a long time in the town."
+    junk = "Shop sale discount shoes jackets boots hats scarves gloves watches rings phones tablets laptops cameras lenses"
+    assert html_text.main_text(f"<body><p>{story}</p><p>{story}</p><p>{junk}</p></body>") == f"{story}\n{story}"
+    assert html_text.main_text(f"<body><p>{story}</p><p>{OTHERS['zh']}</p></body>") == f"{story}\n{OTHERS['zh']}"
+
+
 @pytest.mark.parametrize("part", ["<div>", "<p ", '<a x="', "<!--", "</", "<span class=ad>", "<b>"])
 def test_broken_markup_takes_linear_time(part):
     html_text.main_text(part * 30_000 + "x")

@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags.  The first pass decides a block by its place
 (menus, headers, footers, sidebars, forms and the like, or a container so named, are never main
-text), its link density, and for the rest its length and its density of stop words.  Short
+text), its link density, and for the rest its length and its density of stop words.  The last
+decides only where it knows the language: a long block is main text if most of its letters aren't
+Latin ones, or if the page's long blocks together have hardly any listed stop word.  Short
 blocks stay open.  In the second pass an open block takes the label of its nearest decided
 neighbours: of both if they agree, else of the nearer one (not main text if none is); if only
 one side has any, of that; on a page where nothing is decided it is main text.  An open block
@@ -213,19 +215,41 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def decide(block: Block) -> bool | None:
-    """The first pass: main text, not main text, or open."""
+def _outside(block: Block) -> bool:
+    return block.place == "aside" or block.linked > LINKED * len(block.text)
+
+
+def _stops(text: str) -> tuple[int, int]:
+    """Stop words and words."""
+    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    return sum(w in STOPS for w in words), len(words)
+
+
+def _latin(text: str) -> bool:
+    """Whether most letters are Latin ones."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" or "\u1e00" <= c <= "\u1eff" for c in letters) >= len(letters)
+
+
+def known_language(found: list[Block]) -> bool:
+    """Whether the long Latin blocks that may be main text hold listed stop words as a listed language does."""
+    counts = [_stops(b.text) for b in found if len(b.text) >= LONG and not b.heading and not _outside(b) and _latin(b.text)]
+    return sum(c[0] for c in counts) >= STOP_LOW * sum(c[1] for c in counts)
+
+
+def decide(block: Block, known: bool = True) -> bool | None:
+    """The first pass: main text, not main text, or open.  ``known`` tells whether the page's language has stop words here."""
     length = len(block.text)
-    if block.place == "aside" or block.linked > LINKED * length:
+    if _outside(block):
         return False
-    if block.heading:
-        return None
-    words = [w.strip(".,;:!?\"'()").lower() for w in block.text.split()]
-    density = sum(w in STOPS for w in words) / len(words)
-    if length < LONG:
+    if block.heading or length < LONG:
         return None
     if block.place == "main":
         return True  # long, few links, and in the element that is meant to hold the text
+    if not known or not _latin(block.text):
+        return True  # long, few links, and no stop word to be expected
+    stops, words = _stops(block.text)
+    density = stops / words
     if density >= STOP_HIGH or (density >= STOP_LOW and length >= VERY_LONG):
         return True
     return None if density >= STOP_LOW else False
@@ -233,7 +257,8 @@ def decide(block: Block) -> bool | None:
 
 def label(found: list[Block]) -> None:
     """Both passes; sets ``main`` of every block."""
-    first = [decide(b) for b in found]
+    known = known_language(found)
+    first = [decide(b, known) for b in found]
     before, after = [None] * len(found), [None] * len(found)
     last = None
     for i, d in enumerate(first):
