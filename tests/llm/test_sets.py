@@ -111,6 +111,16 @@ def test_jaccard_on_near_copies(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_jaccard_of_one_doc_id_with_several_texts(spark, parts):
+    """Each text of a repeated doc_id keeps the links of its own set, and so do the others that have that set."""
+    a, b, c = (words(60, 500 + k) for k in range(3))
+    rows = [(5, a), (5, b), (1, a), (7, b + " tail"), (9, b), (20, c), (30, c), (30, a + " more"), (40, c + " end"), (50, words(60, 510))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(parts)
+    got = sorted((tuple(r) for r in jaccard_components(docs).collect()), key=ROW_KEY)
+    assert got == brute_components(rows)
+
+
 def test_filters_lose_no_similar_pair():
     for k in range(40):
         a = words(40 + k, k).split()

@@ -7,7 +7,7 @@ two, then by hash, so what many documents share falls out of the prefixes.
 
 1. One pass writes every document's set size and set key, and the bucket counts.  Documents of
    one set are one class; its least doc_id stands for it.
-2. A second pass sends the prefix of one document a class and task.  A shingle whose bucket is
+2. A second pass sends the prefix of one document a class and task, under the class's set key.  A shingle whose bucket is
    far above the mean is dealt to several tasks.  Shingles that only one document has go.
 3. Candidates are found in rounds.  In up to STAR_ROUNDS of them each prefix shingle pairs one
    set of its largest component so far with the sets outside of it, so a group of k near copies
@@ -47,8 +47,8 @@ CELLS = 64
 
 _FACTS = "doc_id long, n long, key1 long, key2 long, chunk int, counts binary"
 _FACT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
-_POSTING = "gram long, node long, n int, pos int, salt int, salts int"
-_POSTING_SCHEMA = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("salt", pa.int32()), ("salts", pa.int32())])
+_POSTING = "gram long, key1 long, key2 long, n int, pos int, salt int, salts int"
+_POSTING_SCHEMA = pa.schema([("gram", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("salt", pa.int32()), ("salts", pa.int32())])
 
 
 def prefix_length(n):
@@ -94,7 +94,7 @@ def postings(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
     def run(batches):
         seen = set()
         for batch in hands(batches):
-            grams, nodes, sizes, places = [], [], [], []
+            grams, keys, sizes, places = [], [], [], []
             for node, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), words), strict=True):
                 if node is None or not len(s) or (key := set_key(s)) in seen:
                     continue
@@ -102,27 +102,27 @@ def postings(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
                 k = prefix_length(len(s))
                 order = np.argsort(commonness[(s >> shift).astype(np.int64)], kind="stable")[:k]
                 grams.append(s[order])
-                nodes.append(node)
+                keys.append(key)
                 sizes.append(len(s))
                 places.append(k)
             if not grams:
                 continue
             gram, k = np.concatenate(grams), np.array(places)
-            node = np.repeat(np.array(nodes, dtype=np.int64), k)
+            key1, key2 = (np.repeat(np.array(c, dtype=np.int64), k) for c in zip(*keys, strict=True))
             pos = (np.arange(len(gram)) - np.repeat(np.cumsum(k) - k, k)).astype(np.int32)
             salts = np.ones(len(gram), dtype=np.int32)
             if len(hot_buckets):
                 bucket = gram >> shift
                 at = np.minimum(np.searchsorted(hot_buckets, bucket), len(hot_buckets) - 1)
                 salts = np.where(hot_buckets[at] == bucket, hot_salts[at], salts)
-            yield record(_POSTING_SCHEMA, gram=pa.array(gram.view(np.int64)), node=pa.array(node), n=pa.array(np.repeat(np.array(sizes, dtype=np.int32), k)),
-                         pos=pa.array(pos), salt=pa.array((node % salts).astype(np.int32)), salts=pa.array(salts))
+            yield record(_POSTING_SCHEMA, gram=pa.array(gram.view(np.int64)), key1=pa.array(key1), key2=pa.array(key2), n=pa.array(np.repeat(np.array(sizes, dtype=np.int32), k)),
+                         pos=pa.array(pos), salt=pa.array((key1 % salts).astype(np.int32)), salts=pa.array(salts))
 
     return mapped(docs.select("doc_id", "text"), run, _POSTING)
 
 
-_LIST = "gram long, node long, n int, pos int"
-_LIST_SCHEMA = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+_LIST = "gram long, key1 long, key2 long, n int, pos int"
+_LIST_SCHEMA = pa.schema([("gram", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
 def shared_only(rows):
@@ -131,7 +131,7 @@ def shared_only(rows):
     for batch in rows:
         if not batch.num_rows:
             continue
-        columns = [batch.column(c).to_numpy() for c in ("gram", "node", "n", "pos", "salts")]
+        columns = [batch.column(c).to_numpy() for c in (*_LIST_SCHEMA.names, "salts")]
         if held is not None:
             columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
         # The last row waits: the next batch may go on with its shingle.
@@ -140,13 +140,13 @@ def shared_only(rows):
         told = keep[:-1]
         yield _listed([c[:-1][told] for c in columns])
         if keep[-1]:
-            held[4] = np.array([2], dtype=np.int32)  # it has a neighbour already
-    if held is not None and held[4][0] > 1:
+            held[-1] = np.array([2], dtype=np.int32)  # it has a neighbour already
+    if held is not None and held[-1][0] > 1:
         yield _listed(held)
 
 
 def _kept(columns: list[np.ndarray]) -> np.ndarray:
-    gram, salts = columns[0], columns[4]
+    gram, salts = columns[0], columns[-1]
     same = gram[1:] == gram[:-1]
     keep = salts > 1
     keep[1:] |= same
@@ -259,10 +259,10 @@ def linked(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame, DataF
     sets = known.filter("doc_id is not null and n > 0")
     reps = sets.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
     of_doc = written(sets.join(reps, ["key1", "key2"]).select("doc_id", "rep").distinct(), "classes")
-    dealt = postings(docs, counts, words).repartition("gram", "salt").sortWithinPartitions("gram").select("gram", "node", "n", "pos", "salts")
+    dealt = postings(docs, counts, words).repartition("gram", "salt").sortWithinPartitions("gram").select(*_LIST_SCHEMA.names, "salts")
     lists = written(mapped(dealt, shared_only, _LIST), "lists")
-    lists = written(lists.join(of_doc.groupBy("doc_id").agg(F.min("rep").alias("rep")).withColumnRenamed("doc_id", "node"), "node")
-                    .groupBy("gram", F.col("rep").alias("node"), "n").agg(F.min("pos").alias("pos")), "lists")
+    # A posting is its own class's: a doc_id may have several.
+    lists = written(lists.join(reps, ["key1", "key2"]).groupBy("gram", F.col("rep").alias("node"), "n").agg(F.min("pos").alias("pos")), "lists")
     # How many of a set's prefix shingles (a fifth of it) others share, in thousandths.
     shares = lists.groupBy("node", "n").agg(F.count("*").alias("k")).select(
         "node", "n", F.floor(5000 * F.col("k") / F.col("n")).cast("int").alias("shared"))
