@@ -4,8 +4,9 @@ Texts are equal when identical after every run of ``[\\x20\\x09-\\x0D]`` became
 text's key is the head of its SHA-256.  The directory maps the leading bits of a key to a
 bucket, that is, a key range; it starts as one bucket and doubles where an overfull bucket has
 used up its bits.  Only counts of distinct keys under each prefix reach the driver, ``2 **
-MAX_DEPTH`` of them at most.  Owner tasks take whole buckets, chain what shares a key, and
-compare the bytes of every text with the chain, so colliding keys stay apart.
+MAX_DEPTH`` of them at most.  The directory names buckets only: tasks own keys by hash, not by
+bucket.  The owner of a key chains what shares it and compares the bytes of every text with the
+chain, so colliding keys stay apart.
 
 Only rows that share a key have their texts moved.  A key with many rows is salted: each part
 is chained by itself and sends one text a link on to the owner.
