@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 from ..session import fresh_path
-from . import decontaminate, exact_dedup, html_text, jaccard, language, licenses, packing, pii, quality_rank, token_file
+from . import (decontaminate, exact_dedup, html_text, jaccard, language, licenses, packing, pii, quality_rank, repeats, token_file,
+               vector_codes, whitening)
 from .common import table, tokenizer_path
 
 
@@ -52,6 +54,20 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def coded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": personal_data,
     "op2_token_file": token_ids,
@@ -63,6 +79,9 @@ QUERIES = {
     "op8_license_scan": license_scan,
     "op9_quality_rank": quality,
     "op10_decontamination": contamination,
+    "op11_vector_codes": coded_vectors,
+    "op12_suffix_dedup": repeated_strings,
+    "op13_whitening": whitened,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -105,4 +124,36 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
 from d left join hits using (doc_id) left join named using (doc_id)
 """
 
-SQL = {"op4_exact_dedup": EXACT_SQL, "op10_decontamination": CONTAMINATION_SQL}
+_NEAREST = """
+a{k} as (
+  select row, p, x, arg_min(e, (d, e)) as e, min(d) as d
+  from (select row, p, x, e, list_sum(list_transform(list_zip(x, c), z -> (z[1] - z[2]) * (z[1] - z[2]))) as d from parts join b{k} using (p))
+  group by row, p, x
+)"""
+_MEANS = """
+m{k} as (
+  select p, e, list(y order by i) as y
+  from (select p, e, i, cast(floor(sum(x[i]) / count(*)) as bigint) as y from (select p, e, x, unnest(range(1, len(x) + 1)) as i from a{k}) group by p, e, i)
+  group by p, e
+), b{next} as (select p, e, coalesce(y, c) as c from b{k} left join m{k} using (p, e))"""
+CODES_SQL = """
+with kept as (
+  select row_number() over (order by vec_id nulls last) as row, vec_id, label,
+         list_transform(embedding, x -> cast(floor(256.0 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+), parts as (
+  select row, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] as x from kept, range(16) as t(p)
+), b0 as (select p, row - 1 as e, x as c from parts where row <= 64),""" + ",".join(
+    [_NEAREST.format(k=0), _MEANS.format(k=0, next=1), _NEAREST.format(k=1), _MEANS.format(k=1, next=2), _NEAREST.format(k=2)]) + """,
+coded as (
+  select row, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from a2 group by row
+), digest as (
+  select sha256(string_agg(cast(y as varchar), ',' order by p, e, i)) as codebooks_sha256
+  from (select p, e, unnest(range(1, len(c) + 1)) as i, unnest(c) as y from b2)
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from kept join coded using (row), digest
+"""
+
+SQL = {"op11_vector_codes": CODES_SQL, "op4_exact_dedup": EXACT_SQL, "op10_decontamination": CONTAMINATION_SQL}
