@@ -8,21 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.transforms import TRANSFORMS, MappingContext
-from ..operators.ingest import ALERT_ROWS, RUNS, Workspace, ingest_file, read_table
+from ..operators.ingest import ALERT_ROWS, REGISTRY, RUNS, Workspace, compact, ingest_file, read_table
+from ..operators.ingest_many import ingest_files
 from ..operators.mapping import (FieldMapping, apply_profile, contract_label, finalise, inspect_source,
-                                 latest_profile, next_version, resolve_sigma)
+                                 latest_profile, next_version, preview_mapping, resolve_sigma)
 from ..operators.quality import QualityContext, findings
 from ..operators.pivot import PivotRequest
 from ..operators.registry import latest_entries, latest_ready, ready_batches
 from ..operators.scenarios import column_of, pct_grid
 from ..operators.valuation import scenario_pnl, value_batch
-from ..session import SPARK_ERRORS, fresh_path
+from ..session import SPARK_ERRORS, fresh_path, written
 from ..sources.batch_store import (BatchStore, delete_batch, list_batches, load_batch, load_positions, raw_book,
-                                   write_batch)
-from ..sources.export import export_csv, quarantine
+                                   read_frames, read_rollups, write_batch)
+from ..sources.export import export_csv, keep_files, quarantine, restored
 from ..sources.positions import read_positions
 from ..sources.text import read_source
-from ..streaming.drop import drop_ingest
+from ..streaming.drop import PROFILES, drop_by_profiles, drop_ingest, stored_profile
 from . import sql as Q
 from .book import BATCH_DATE, GRID, batch, book, table
 from .common import rounded
@@ -260,7 +261,16 @@ UNION ALL SELECT row_id, round(greatest(implied_vol::DOUBLE / 100, 0.01) / sqrt(
 
 
 def q_inspect_source(spark, d):
-    return inspect_source(read_source(spark, _csv(spark, d)))
+    return inspect_source(read_source(spark, _ordered_csv(spark, raw_export(spark, d))))
+
+
+_INSPECTED = {"Segment": "product", "Unit": "desk", "Root": "ticker", "Kind": "nullif(cp, 'N/A')", "Last Day": "nullif(expiration, '')",
+              "Strike Mils": "strike_price", "Spot": "und_last", "Vol Pct": "implied_vol", "Realised": "hist_vol", "Direction": "side",
+              "Lots": "quantity", "Book Ref": "acct", "Ref": "row_id"}
+S_INSPECT_SOURCE = f"""WITH {RAW}, head AS (SELECT * FROM raw WHERE position_id < 5) """ + " UNION ALL ".join(
+    f"""SELECT '{name}' AS "column", coalesce((SELECT list(v ORDER BY position_id) FROM (SELECT {sql} AS v, position_id FROM head) WHERE v IS NOT NULL), [])[1:3] AS samples,
+  (SELECT count(*) FROM raw) AS "rows" """
+    for name, sql in _INSPECTED.items())
 
 
 def q_latest_profile(spark, d):
@@ -430,6 +440,188 @@ S_STREAM_DROP_INGEST = Q.with_book("""SELECT CASE sector WHEN 'PROMO' THEN 'Prom
   count(*) AS stored, count(*) AS ids, TRUE AS alerts_hold FROM book GROUP BY book.sector""")
 
 
+FILES = 60
+
+
+def _files(raw):
+    """The export's rows dealt to sixty files: the file, and what is to be wrong with it."""
+    k = F.col("Ref").cast("long") % FILES
+    kind = F.when(k % 10 == 3, "misfit").when(k % 10 == 5, "no_price").when(k % 10 == 7, "ragged").otherwise("good")
+    return raw.withColumns({"__f": k, "__kind": kind})
+
+
+def _dropped(spark, d) -> str:
+    """Sixty files in a folder for each kind; returns the pattern of the folders."""
+    folder = fresh_path(spark, "drop")
+    raw = written(_files(raw_export(spark, d)), "export")
+    columns = [c for c in raw.columns if not c.startswith("__")]
+    out = lambda frame: frame.repartition("__f").write.partitionBy("__f").option("header", True)
+    for kind in ("good", "misfit", "no_price"):
+        mine = raw.where(F.col("__kind") == kind).drop("__kind")
+        mine = mine.drop("Spot", "Kind") if kind == "misfit" else _renamed(mine) if kind == "no_price" else mine
+        out(mine).csv(f"{folder}/{kind}")
+    ragged = raw.where("__kind = 'ragged'")
+    more = F.when(F.col("Ref").cast("long") < FILES, F.lit(",more")).otherwise(F.lit(""))
+    line = F.concat(F.to_csv(F.struct(*[f"`{c}`" for c in columns]), {"quoteAll": "true"}), more)
+    head = ragged.select("__f").distinct().select("__f", F.lit(0).alias("at"), F.lit(",".join(columns)).alias("value"))
+    lines = head.unionByName(ragged.select("__f", F.lit(1).alias("at"), line.alias("value")))
+    lines.repartition("__f").sortWithinPartitions("__f", "at").select("__f", "value").write.partitionBy("__f").option("header", False).text(f"{folder}/ragged")
+    return f"{folder}/*/*"
+
+
+def q_stream_many_files(spark, d):
+    """Sixty files, good and bad mixed, in one micro-batch and one plan."""
+    work = Workspace(fresh_path(spark, "work"))
+    query = drop_ingest(spark, _dropped(spark, d), work, profile(), BATCH_DATE, fresh_path(spark, "offsets"), pattern="*.{csv,txt}", limit=2 * FILES)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    runs = read_table(spark, work.table("runs"), RUNS)
+    ready = latest_entries(read_table(spark, work.table("registry"), REGISTRY)).where("status = 'ready'")
+    ids = [r["batch_id"] for r in ready.select("batch_id").collect()]
+    stored = read_frames(spark, work.store, "ACME", ids).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("stored"), F.count_distinct("position_id").alias("ids"), F.max("position_id").alias("last"))
+    rolled = read_rollups(spark, work.store, "ACME", ids).where("dimension = 'desk'").groupBy("batch_id").agg(F.sum("positions").alias("rolled"))
+    kept = spark.read.parquet(work.table("quarantine")).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    codes = F.array_join(F.array_sort(F.transform("findings", lambda f: f["code"])), ",")
+    samples = F.coalesce(F.aggregate("findings", F.lit(0), lambda n, f: n + F.size(f["sample"])), F.lit(0))
+    return runs.join(stored, "batch_id", "left").join(rolled, "batch_id", "left").join(kept, "file", "left").select(
+        F.regexp_extract("file", r"__f=(\d+)", 1).cast("long").alias("f"), "status", "rows", codes.alias("codes"),
+        samples.cast("long").alias("samples"), "stored", "ids", "last", "rolled", F.col("lines").alias("kept_lines"))
+
+
+S_STREAM_MANY_FILES = f"""WITH {MAPPED} SELECT f, CASE k WHEN 3 THEN 'quarantined' WHEN 5 THEN 'quarantined'
+    WHEN 7 THEN 'failed' ELSE 'succeeded' END AS status,
+  CASE WHEN k IN (3, 7) THEN 0 ELSE n END AS "rows", CASE k WHEN 5 THEN 'bad_price,null_required' ELSE '' END AS codes,
+  CASE k WHEN 5 THEN 6 ELSE 0 END AS samples, CASE WHEN k NOT IN (3, 5, 7) THEN n END AS stored,
+  CASE WHEN k NOT IN (3, 5, 7) THEN n END AS ids, CASE WHEN k NOT IN (3, 5, 7) THEN n - 1 END AS "last",
+  CASE WHEN k NOT IN (3, 5, 7) THEN n END AS rolled, CASE WHEN k IN (3, 5, 7) THEN n + 1 END AS kept_lines
+FROM (SELECT position_id % {FILES} AS f, position_id % 10 AS k, count(*) AS n FROM mapped GROUP BY ALL)"""
+
+
+def q_ingest_by_profile(spark, d):
+    """Two firms' drops by their stored profiles; one firm saves a new version between two drops, and one file is nobody's."""
+    folder, work, profiles = fresh_path(spark, "drop"), Workspace(fresh_path(spark, "work")), fresh_path(spark, "profiles")
+    offsets = fresh_path(spark, "offsets")
+    raw = written(raw_export(spark, d), "export")
+
+    def save(*rows):
+        spark.createDataFrame([stored_profile(p, pattern, p.version) for p, pattern in rows], PROFILES).write.mode("append").parquet(profiles)
+
+    def version(firm, n):
+        p = profile(firm)
+        p.version, p.mappings = n, [*p.mappings, FieldMapping("industry", constant=f"version {n}")]
+        return p
+
+    def drop(place, part):
+        raw.where(F.col("Ref").cast("long") % 5 == part).coalesce(1).write.option("header", True).csv(f"{folder}/{place}")
+        query = drop_by_profiles(spark, f"{folder}/*/*", work, profiles, BATCH_DATE, offsets)
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
+
+    save((version("ACME", 1), "^acme/"), (version("OTHR", 1), "^othr/"))
+    drop("acme/a", 0)
+    drop("othr/a", 1)
+    save((version("ACME", 2), "^acme/"))
+    drop("acme/b", 2)
+    drop("othr/b", 3)
+    drop("none/a", 4)
+    ready = latest_entries(read_table(spark, work.table("registry"), REGISTRY)).where("status = 'ready'")
+    out = None
+    for firm in ("ACME", "OTHR"):
+        ids = [r["batch_id"] for r in ready.where(F.col("firm_id") == firm).select("batch_id").collect()]
+        one = read_frames(spark, work.store, firm, ids).groupBy("firm", "industry").agg(
+            F.count(F.lit(1)).alias("positions"), F.count_distinct("batch_id").alias("batches"), F.sum("qty").alias("qty"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 0)
+
+
+S_INGEST_BY_PROFILE = f"""WITH {MAPPED} SELECT CASE WHEN k IN (0, 2) THEN 'ACME' ELSE 'OTHR' END AS firm,
+  CASE k WHEN 2 THEN 'version 2' ELSE 'version 1' END AS industry, count(*) AS positions,
+  count(DISTINCT k) AS batches, round(sum(qty), 0) + 0::DOUBLE AS qty
+FROM (SELECT *, position_id % 5 AS k FROM mapped) WHERE k <> 4 GROUP BY 1, 2"""
+
+
+def _ordered_csv(spark, raw) -> str:
+    """An export whose files hold the rows in the order of the book."""
+    path = fresh_path(spark, "export")
+    raw.orderBy(F.col("Ref").cast("long")).write.option("header", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def q_mapping_preview(spark, d):
+    """The first twenty rows under a profile that reads percent as a fraction, beside what validation says of the whole file."""
+    p = profile()
+    p.mappings = [m for m in p.mappings if m.field != "iv"] + [FieldMapping("iv", "Vol Pct", transform="number")]
+    shown = preview_mapping(read_source(spark, _ordered_csv(spark, raw_export(spark, d))), p, BATCH_DATE)
+    said = shown.findings.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "code", "count"))), ",").alias("findings"))
+    return shown.rows.select("position_id", "account", "underlying", "qty", "strike", "expiry", "right", "iv", "contract").crossJoin(said)
+
+
+S_MAPPING_PREVIEW = f"""WITH {MAPPED} SELECT position_id, account, underlying, qty, strike, expiry, "right",
+  round(iv * 100, 6) AS iv, contract,
+  (SELECT 'implausible_iv:' || count(*) FROM mapped WHERE iv * 100 > 5.0000001) || (SELECT CASE WHEN count(*) > 0 THEN ',missing_iv:' || count(*)
+   ELSE '' END FROM mapped WHERE is_option AND iv <= 0) AS findings
+FROM mapped WHERE position_id < 20"""
+
+
+def q_quarantine_bytes(spark, d):
+    """Lines of a rejected file in another encoding, with odd ends, are kept byte for byte."""
+    path = fresh_path(spark, "odd")
+    lines = table(spark, d, "nation").select(F.concat(F.lit("é"), "n_name", F.when(F.col("n_nationkey") % 3 == 0, "\r").otherwise(" \t")).alias("value"), "n_nationkey")
+    latin = F.encode("value", "ISO-8859-1").cast("string").alias("value")
+    lines.repartition(1).sortWithinPartitions("n_nationkey").select(latin).write.text(path)
+    where = fresh_path(spark, "quarantine")
+    keep_files(spark, "ACME", [(path, "odd 1", "for no reason")], where)
+    kept = spark.read.parquet(where)
+    whole = restored(kept).select("key", F.sha2("bytes", 256).alias("file_sha256"))
+    return kept.join(whole, "key").select(F.col("line").cast("long").alias("line"), "reason", F.sha2("raw", 256).alias("line_sha256"), "file_sha256")
+
+
+S_QUARANTINE_BYTES = """WITH l AS (SELECT n_nationkey AS line, '\\xE9'::BLOB || encode(n_name) || CASE WHEN n_nationkey % 3 = 0
+    THEN '\\x0D'::BLOB ELSE '\\x20\\x09'::BLOB END AS raw FROM nation),
+w AS (SELECT sha256(unhex(string_agg(hex(raw || '\\x0A'::BLOB), '' ORDER BY line))) AS file_sha256 FROM l)
+SELECT line::BIGINT AS line, 'for no reason' AS reason, sha256(raw) AS line_sha256, file_sha256 FROM l, w"""
+
+
+def q_run_log(spark, d):
+    """Run records with their samples and the sigma note, before and after the small files are merged, and after a rerun."""
+    work = Workspace(fresh_path(spark, "work"))
+    raw = written(raw_export(spark, d), "export")
+    own = profile()
+    own.mappings = [*own.mappings, FieldMapping("sigma_daily", "Realised", transform="number")]
+    files = {"plain": (profile(), _ordered_csv(spark, raw)), "sigma": (own, _ordered_csv(spark, raw)), "no_price": (profile(), _ordered_csv(spark, _renamed(raw)))}
+    for name, (p, path) in files.items():
+        ingest_files(spark, work, p, [(path, name)], BATCH_DATE)
+
+    def log(phase):
+        runs = read_table(spark, work.table("runs"), f"{RUNS}, key string")
+        each = runs.select("key", "status", "rows", "sigma_supplied", F.explode_outer("findings").alias("f"))
+        return written(each.select(
+            F.lit(phase).alias("phase"), F.col("key").alias("file"), "status", "rows", "sigma_supplied", F.col("f.code").alias("code"), F.col("f.count").alias("n"),
+            F.size("f.sample").cast("long").alias("samples"), F.col("f.sample")[0]["account"].alias("first_account")), "log")
+
+    out = log("before")
+    compact(spark, work, "runs", RUNS, "ACME")
+    compact(spark, work, "registry", REGISTRY, "ACME")
+    out = out.unionByName(log("after"))
+    ingest_files(spark, work, files["plain"][0], [(files["plain"][1], "plain")], BATCH_DATE)
+    out = out.unionByName(log("again"))
+    compact(spark, work, "runs", RUNS, "ACME")
+    return out.unionByName(log("merged again"))
+
+
+S_RUN_LOG = f"""WITH {MAPPED}, n AS (SELECT count(*) AS n, min_by(account, position_id) AS a FROM mapped)
+SELECT phase, file, CASE WHEN file = 'no_price' THEN 'quarantined' ELSE 'succeeded' END AS status, n AS "rows",
+  CASE file WHEN 'sigma' THEN TRUE WHEN 'plain' THEN FALSE END AS sigma_supplied, code,
+  CASE WHEN code IS NOT NULL THEN n END AS n, CASE WHEN code IS NOT NULL THEN 3 END AS samples,
+  CASE WHEN code IS NOT NULL THEN a END AS first_account
+FROM n, (VALUES ('before'), ('after'), ('again'), ('merged again')) p(phase),
+  (VALUES ('plain', NULL), ('sigma', NULL), ('no_price', 'bad_price'), ('no_price', 'null_required')) f(file, code)"""
+
+
 # -- batch store --------------------------------------------------------------
 
 
@@ -663,7 +855,12 @@ QUERIES = {
     "contract_label": (q_contract_label, S_CONTRACT_LABEL),
     "position_id": (q_position_id, S_POSITION_ID),
     "sigma_from": (q_sigma_from, S_SIGMA_FROM),
-    "inspect_source": (q_inspect_source, None),
+    "inspect_source": (q_inspect_source, S_INSPECT_SOURCE),
+    "mapping_preview": (q_mapping_preview, S_MAPPING_PREVIEW),
+    "quarantine_bytes": (q_quarantine_bytes, S_QUARANTINE_BYTES),
+    "stream_many_files": (q_stream_many_files, S_STREAM_MANY_FILES),
+    "ingest_by_profile": (q_ingest_by_profile, S_INGEST_BY_PROFILE),
+    "run_log": (q_run_log, S_RUN_LOG),
     "latest_profile": (q_latest_profile, S_LATEST_PROFILE),
     "dq_findings": (q_dq_findings, S_DQ_FINDINGS),
     "dq_row_drift": (q_dq_row_drift, S_DQ_ROW_DRIFT),

@@ -236,12 +236,39 @@ S_TYPED_PATH = _filtered_sql("strike = 900 AND \"right\" = 'C'")
 
 
 def q_distinct_values(spark, d):
-    return distinct_values(book(spark, d), "contract")
+    """The first thousand values of a filter list, as the operator offers them."""
+    return distinct_values(book(spark, d), "contract", limit=1000)
 
 
 S_DISTINCT_VALUES = Q.with_book("SELECT DISTINCT contract FROM book ORDER BY contract LIMIT 1000")
 
 
+def q_distinct_values_all(spark, d):
+    return distinct_values(book(spark, d), "contract")
+
+
+S_DISTINCT_VALUES_ALL = Q.with_book("SELECT DISTINCT contract FROM book")
+
+
+def q_unknown_op(spark, d):
+    """What becomes of filters: a known operator answers, an unknown one is refused before anything runs."""
+    b = book(spark, d).withColumn("und_qty", F.col("qty") * F.col("multiplier"))
+    out = None
+    for op, value in (("equals", "SMALL"), ("isLike", "SMALL"), ("EQUALS", "SMALL"), ("", None), ("startsWith", "SM")):
+        request = PivotRequest(("sector",), filters=(Filter("sector", op, value),), measures=("und_qty",))
+        try:
+            rows = pivot(b, request).rows.agg(F.coalesce(F.sum("positions"), F.lit(0)).alias("positions"))
+        except ValueError:
+            rows = spark.range(1).select(F.lit(None).cast("long").alias("positions"))
+        one = rows.select(F.lit(op).alias("op"), "positions")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+S_UNKNOWN_OP = Q.with_book("""SELECT op, CASE WHEN op IN ('equals', 'startsWith') THEN n END AS positions
+FROM (VALUES ('equals'), ('isLike'), ('EQUALS'), (''), ('startsWith')) v(op), (SELECT count(*) FILTER (sector = 'SMALL') AS n FROM book)""")
+
+
 def q_cardinality(spark, d):
     return cardinalities(book(spark, d))
 
@@ -480,6 +507,42 @@ def q_alert_isolation(spark, d):
 S_ALERT_ISOLATION = Q.with_batch(f"""SELECT rule_id, TRUE AS ran, count(*) AS breaches
 FROM ({_breach_sql('batch')}) GROUP BY rule_id UNION ALL VALUES (9, FALSE, 0), (10, FALSE, 0), (11, FALSE, 0)""")
 
+# Thirty rules on three dimensions and five scopes.
+_SCOPES = (
+    ((), "TRUE"),
+    ((Filter("instrument_type", "equals", "OPTION"),), "instrument_type = 'OPTION'"),
+    ((Filter("right", "equals", "C"), Filter("iv", "greaterThan", 0.2)), "\"right\" = 'C' AND iv > 0.2"),
+    ((Filter("sector", "startsWith", "S"),), "sector LIKE 'S%'"),
+    ((Filter("strike", "inRange", 800.0, 1200.0),), "strike BETWEEN 800 AND 1200"),
+)
+_WATCHED = (("desk", -500_000.5), ("account", -50_000.5), ("industry", -400_000.5))
+MANY_RULES = tuple(
+    AlertRule(100 + k, f"rule {k}", (dim,), scope=_SCOPES[k % 5][0],
+              conditions=(Filter("worst", "lessThan", limit * (1 + k // 15)), Filter("positions", "greaterThan", k % 3)),
+              measures=("delta", "vega") if k % 2 else ("market_value",))
+    for k in range(30) for dim, limit in [_WATCHED[k % 3]])
+
+
+def q_alert_shared_scan(spark, d):
+    """Thirty rules, evaluated from one scan of the batch."""
+    found = evaluate(batch(spark, d), MANY_RULES).breaches
+    return rounded(found.select("rule_id", "group_key", "positions", "market_value", "delta", "worst"))
+
+
+def _many_sql() -> str:
+    parts = []
+    for k, rule in enumerate(MANY_RULES):
+        (dim,), limit, own = rule.dimensions, rule.conditions[0].value, k % 2 == 0
+        parts.append(f"""SELECT {rule.rule_id}::BIGINT AS rule_id, {dim} AS group_key, positions, {Q.WORST} AS worst,
+  {'market_value' if own else 'NULL::DOUBLE AS market_value'}, {'NULL::DOUBLE AS delta' if own else 'delta'}
+  FROM (SELECT {dim}, {Q.sums()} FROM batch WHERE {_SCOPES[k % 5][1]} GROUP BY {dim})
+  WHERE {Q.WORST} < {limit} AND positions > {k % 3}""")
+    return " UNION ALL ".join(parts)
+
+
+S_ALERT_SHARED_SCAN = Q.with_batch(
+    f"SELECT rule_id, group_key, positions, {Q.rounded_list(('market_value', 'delta', 'worst'))} FROM ({_many_sql()})")
+
 QUERIES = {
     "pivot_level": (q_pivot_level, S_PIVOT_LEVEL),
     "pivot_drill": (q_pivot_drill, S_PIVOT_DRILL),
@@ -500,6 +563,9 @@ QUERIES = {
     "filter_pre_post": (q_filter_pre_post, S_FILTER_PRE_POST),
     "typed_path": (q_typed_path, S_TYPED_PATH),
     "distinct_values": (q_distinct_values, S_DISTINCT_VALUES),
+    "distinct_values_all": (q_distinct_values_all, S_DISTINCT_VALUES_ALL),
+    "unknown_op": (q_unknown_op, S_UNKNOWN_OP),
+    "alert_shared_scan": (q_alert_shared_scan, S_ALERT_SHARED_SCAN),
     "cardinality": (q_cardinality, S_CARDINALITY),
     "tree_flatten": (q_tree_flatten, S_TREE_FLATTEN),
     "tree_top": (q_tree_top, S_TREE_TOP),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv as csv_module
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,7 @@ def read_source(spark: SparkSession, path, file_format: str = "csv",
     options = options or {}
     if file_format == "parquet":
         return spark.read.parquet(*_paths(path))
-    encoding = {"utf8": "UTF-8", "utf-8": "UTF-8"}.get(
-        options.get("encoding", "utf8").lower(), options.get("encoding"))
-    csv = {
-        "sep": options.get("separator", ","), "encoding": encoding,
-        "mode": "PERMISSIVE",
-        # Quotes are doubled inside quoted fields, as spreadsheets write them.
-        "escape": '"', "nullValue": "", "emptyValue": "",
-    }
+    csv = csv_options(options)
     cut = bool(options.get("truncate_ragged_lines"))
     skip = int(options.get("skip_rows", 0))
     if skip:
@@ -47,6 +41,18 @@ def read_source(spark: SparkSession, path, file_format: str = "csv",
     return raw.select(*[v.alias(c) for c, v in cleaned.items()])
 
 
+def csv_options(options: dict) -> dict:
+    """Spark's CSV options for a profile's read options."""
+    encoding = {"utf8": "UTF-8", "utf-8": "UTF-8"}.get(
+        options.get("encoding", "utf8").lower(), options.get("encoding"))
+    return {
+        "sep": options.get("separator", ","), "encoding": encoding,
+        "mode": "PERMISSIVE",
+        # Quotes are doubled inside quoted fields, as spreadsheets write them.
+        "escape": '"', "nullValue": "", "emptyValue": "",
+    }
+
+
 def _paths(path) -> list[str]:
     return [str(p) for p in path] if isinstance(path, (list, tuple)) else [str(path)]
 
@@ -60,6 +66,41 @@ def _surplus(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.where(fine).select(*[F.col(f"`{c}`") for c in columns])
 
 
+def local_name(path: str) -> str:
+    """A file URI as a plain path."""
+    parts = urlparse(path)
+    return unquote(parts.path) if parts.scheme == "file" else path
+
+
+def read_lines(spark: SparkSession, files, encoding: str = "UTF-8", whole: bool = False) -> DataFrame:
+    """``key, part, line, value, size``: the lines of several files, numbered from 0 within each part.
+
+    ``files`` are (path, key); a path may be a folder, whose files are the parts.  Empty lines are
+    left out.  With ``whole`` all lines are there, as bytes, cut at line feeds alone: the parts' bytes are
+    the lines joined by line feeds, with one more at the end if ``size`` says so.  One row a part comes to
+    the driver, to tell whose it is.
+    """
+    text = spark.read.option("lineSep", "\n").text([p for p, _ in files]) if whole else spark.read.text([p for p, _ in files])
+    tagged = text.select("value", F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_size").alias("size"))
+    if whole:
+        tagged = tagged.withColumn("value", F.col("value").cast("binary"))
+    else:
+        if encoding != "UTF-8":
+            # The line reader keeps bytes as they are.
+            tagged = tagged.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+        tagged = tagged.where(F.length("value") > 0)
+    lines = with_position_id(tagged, "line", per_file=True)
+    keys = {local_name(p).rstrip("/"): key for p, key in files}
+    owners = []
+    for row in text.select(F.col("_metadata.file_path").alias("part")).distinct().collect():
+        place = local_name(row["part"])
+        while place not in keys and "/" in place:
+            place = place.rsplit("/", 1)[0]
+        owners.append((row["part"], keys[place]))
+    named = spark.createDataFrame(owners, "__part string, key string")
+    return lines.join(F.broadcast(named), F.col("part") == F.col("__part")).select("key", "part", "line", "value", "size")
+
+
 def _with_header(spark: SparkSession, path, csv: dict, multi_line: bool, cut: bool) -> DataFrame:
     paths = _paths(path)
     reader = spark.read.options(**csv, multiLine=multi_line)

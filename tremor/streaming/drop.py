@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
-from urllib.parse import quote, unquote, urlparse
+import json
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import RUNS, Workspace, ingest_file, read_table
-from ..operators.mapping import Profile
+from ..operators.ingest import RUNS, Workspace, read_table
+from ..operators.ingest_many import ingest_files
+from ..operators.mapping import Profile, latest_profile
+from ..sources.text import local_name
 
 FILES_PER_TRIGGER = 10
 _FILE = "path string, modificationTime timestamp, length bigint, content binary"
@@ -32,12 +35,6 @@ def arrivals(spark: SparkSession, folder: str, pattern: str = "*",
     return reader.load(folder).select("path", "modificationTime")
 
 
-def local_name(path: str) -> str:
-    """A file URI as a plain path."""
-    parts = urlparse(path)
-    return unquote(parts.path) if parts.scheme == "file" else path
-
-
 def fixed_part(folder: str) -> str:
     """The folders before the first pattern of a path."""
     parts = folder.rstrip("/").split("/")
@@ -58,11 +55,43 @@ def identified(files: DataFrame, folder: str) -> DataFrame:
 
 
 def _take(files: DataFrame, work: Workspace, profile: Profile, batch_date: dt.date, rules) -> int:
-    """Ingest identified files in the order of their times; one row a file comes to the driver."""
+    """Ingest identified files together, in the order of their times; one row a file comes to the driver."""
+    taken = [(local_name(r["path"]), r["batch"]) for r in files.orderBy("modificationTime", "path").collect()]
+    if taken:
+        ingest_files(files.sparkSession, work, profile, taken, batch_date, rules=rules)
+    return len(taken)
+
+
+# Stored profiles: the mapping itself is JSON, and files of the firm are those whose place matches the pattern.
+PROFILES = "firm_id string, name string, version int, active boolean, pattern string, profile string"
+
+
+def stored_profile(profile: Profile, pattern: str, version: int = 1, active: bool = True) -> tuple:
+    """A row of the stored profiles; ``pattern`` is a regular expression on the path under the drop folder."""
+    return profile.firm_id, profile.name, version, active, pattern, json.dumps(profile.to_dict())
+
+
+def claimed(files: DataFrame, saved: DataFrame) -> DataFrame:
+    """Identified files beside the newest active profile of a firm whose pattern they match, the first by firm and name.
+
+    Stored profiles are a row for each that someone drew up, so they are held against every file as they are.
+    """
+    newest = F.broadcast(latest_profile(saved))
+    met = files.join(newest, F.expr("batch rlike pattern"))
+    first = F.min_by(F.struct("firm_id", "name", "version", "profile"), F.struct("firm_id", "name")).alias("p")
+    return met.groupBy("path", "modificationTime", "batch").agg(first).select("path", "modificationTime", "batch", "p.*")
+
+
+def _take_by_profile(files: DataFrame, work: Workspace, saved: DataFrame, batch_date: dt.date, rules) -> int:
+    """Ingest identified files by the stored profiles: those of one profile together."""
+    groups: dict[tuple, list] = {}
     n = 0
-    for row in files.orderBy("modificationTime", "path").toLocalIterator():
-        ingest_file(files.sparkSession, work, profile, local_name(row["path"]), row["batch"], batch_date, rules=rules)
+    for r in claimed(files, saved).orderBy("modificationTime", "path").collect():
+        groups.setdefault((r["firm_id"], r["profile"], r["version"]), []).append((local_name(r["path"]), r["batch"]))
         n += 1
+    for (_, text, version), taken in groups.items():
+        profile = Profile.from_dict(json.loads(text) | {"version": version})
+        ingest_files(files.sparkSession, work, profile, taken, batch_date, rules=rules.get(profile.firm_id, ()) if isinstance(rules, dict) else rules)
     return n
 
 
@@ -88,6 +117,26 @@ def drop_ingest(spark: SparkSession, folder: str, work: Workspace, profile: Prof
     )
 
 
+def drop_by_profiles(spark: SparkSession, folder: str, work: Workspace, profiles: str, batch_date: dt.date, checkpoint: str,
+                     pattern: str = "*.csv", limit: int = FILES_PER_TRIGGER, archive: str | None = None, rules=()) -> StreamingQuery:
+    """``drop_ingest`` for all firms that have a stored profile, in the table ``profiles``.
+
+    The profiles are read anew for each micro-batch, so a version that is saved between two drops
+    counts from the second on.  A file that no active profile claims is left where it is.  ``rules`` are for
+    all firms, or a dictionary of them by firm.
+    """
+
+    def each(files: DataFrame, epoch: int) -> None:
+        saved = files.sparkSession.read.schema(PROFILES).parquet(profiles)
+        _take_by_profile(identified(files, folder), work, saved, batch_date, rules)
+
+    return (
+        arrivals(spark, folder, pattern, limit, archive).writeStream
+        .foreachBatch(each)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def poll(spark: SparkSession, folder: str, work: Workspace, profile: Profile, batch_date: dt.date,
          pattern: str = "*.csv", rules=()) -> int:
     """Ingest the files that no run of this firm has recorded, by path and time; returns how many.
