@@ -181,6 +181,13 @@ def _values(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
+def _among(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among ascending values; the work goes with x."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
 def ranked(blocks: DataFrame, length: int) -> DataFrame:
     """``block, ranks``: the ranks of a block's samples that are held by several samples of all documents."""
     reach = length - period(length) + 1
@@ -208,7 +215,7 @@ def ranked(blocks: DataFrame, length: int) -> DataFrame:
         of = [_values(packed) for _, packed in held]
         together = np.sort(np.concatenate(of))
         again = np.unique(together[1:][np.diff(together) == 0])
-        ranks = [np.intersect1d(x, again) for x in of]
+        ranks = [np.unique(x[_among(again, x)]) for x in of]
         return record(back, block=[b for (b, _), r in zip(held, ranks, strict=True) if len(r)], ranks=[_planes(r) for r in ranks if len(r)])
 
     def owners(batches):
