@@ -278,3 +278,33 @@ def test_a_long_block_gives_each_place_once():
     for at in range(0, 1_000, 37):
         found = licenses.scan(" ".join([*lead[:at], MIT_FILE, *lead[at:]]))
         assert [(f.license, f.differences) for f in found] == [("MIT", "")]
+
+
+def test_main_text_without_optional_end_tags(spark):
+    story = "It was the best of times and it was the worst of times, which is what they said of all of it. " * 3
+    head = "<head><title>T</title><meta charset=utf-8><script>x()</script>"
+    want = f"Heads\n{story.strip()}\n{story.strip()}"
+    body = f"<h1>Heads</h1><p>{story}<p>{story}"
+    for page in (f"<html>{head}</head><body>{body}</body>", f"<html>{head}<body>{body}", f"<html>{head}{body}", f"{head}<span></span>{body}"):
+        assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<html>{head}Words before any tag.<p>{story}") == f"Words before any tag.\n{story.strip()}"
+    assert html_text.main_text(f"<body><a name=top>{body}") == want
+    assert html_text.main_text(f"<body><a href=x>Open link<p>{story}</p><p>{story}</p>") == f"{story.strip()}\n{story.strip()}"
+    for name in ("layout-sidebar-right", "page-with-sidebar", "sidebar-right", "col-left nav-wrapper"):
+        assert html_text.main_text(f"<div class='{name}'><article>{body}</article></div>") == want
+    assert html_text.main_text(f"<div class=comments><article>{body}</article></div>") == ""
+    assert html_text.main_text(f"<div class=sidebar>{body}</div><main><p>{story}</p></main>") == story.strip()
+    entry = "<header class='entry-header'><h1>Heads</h1></header>"
+    assert html_text.main_text(f"<article>{entry}<p>{story}<p>{story}</article>") == want
+
+
+def test_given_pages_without_what_may_be_left_out(spark):
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").select("html").collect()]
+    whole = [html_text.main_text(p) for p in pages]
+    assert [html_text.main_text(p.replace("</head>", "")) for p in pages] == whole
+    bare = [html_text.main_text(re.sub("</?article[^>]*>", "", p)) for p in pages]
+    assert sum(a == b for a, b in zip(whole, bare, strict=True)) >= 0.95 * len(pages)
+    # What comes out is never anything else than what the article holds.
+    assert all(set(b.split("\n")) <= set(a.split("\n")) | {""} for a, b in zip(whole, bare, strict=True))

@@ -7,7 +7,9 @@ decides only where it knows the language: a long block is main text if most of i
 Latin ones, or if the page's long blocks together have hardly any listed stop word.  Short
 blocks stay open.  In the second pass an open block takes the label of its nearest decided
 neighbours: of both if they agree, else of the nearer one (not main text if none is); if only
-one side has any, of that; on a page where nothing is decided it is main text.  An open block
+one side has any, of that; on a page where nothing is decided it is main text.  Blocks that only their
+place decides end the text, but don't vote; a long block that merely lacks stop words votes for nothing
+and is main text between main text.  An open block
 inside an article or main element is main text, for what else such elements hold is marked.  Headings go
 with the first decided block after them.
 
@@ -38,6 +40,8 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 ASIDE = frozenset("nav footer aside form menu dialog fieldset search".split())
 MAIN = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# What a head may hold: anything else ends it, for its own end tag may be left out.
+IN_HEAD = frozenset("base head html link meta noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A new one of these ends an open one.
 ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -47,6 +51,10 @@ ENDS_P = BLOCKS - {"html", "body", "li", "td", "th", "tr", "tbody", "thead", "tf
 MARKED = re.compile(r"(?!has[-_]|no[-_]|with[-_]|without[-_])(?:[a-z0-9]+[-_]+)*(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|"
                     r"header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|"
                     r"sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widgets?)(?:[-_]+[a-z0-9]+)*")
+# Parts of a name that say how a page is laid out: beside them the others name a layout, not a part of the page,
+# or a container whose article is main text all the same.
+LAYOUT = frozenset("layout template theme".split())
+AROUND = frozenset("col column columns grid left page right row two three with wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 # Frequent words of the languages that the stop-word rule knows.
@@ -68,6 +76,8 @@ _NAME = re.compile(r"[^\s/>]+")
 _STOP = re.compile(r">|=\s*([\"'])")
 _COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
+_PARTS = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -75,14 +85,14 @@ _SPACE = re.compile(r"\s+")
 class Block:
     text: str
     linked: int
-    place: str  # "aside", "main" or ""
+    place: str  # "aside", "around", "main" or ""
     heading: bool
     main: bool | None = None
 
 
 def _place(name: str, attributes: str, outer: str) -> str:
     """What the content of an element is for: inherited, unless the element says otherwise."""
-    if outer == "hidden" or (outer == "aside" and name != "main"):
+    if outer == "hidden" or (outer == "aside" and name != "main") or (outer == "around" and name not in MAIN):
         return "hidden" if name in HIDDEN else outer
     if name in HIDDEN:
         return "hidden"
@@ -97,9 +107,19 @@ def _place(name: str, attributes: str, outer: str) -> str:
         return outer
     if name in MAIN or found.get("role") == "main":
         return "aside" if name == "article" and "comment" in found.get("class", "") else "main"
-    if name not in HEADINGS and any(map(MARKED.fullmatch, f"{found.get('class', '')} {found.get('id', '')}".split())):
-        return "aside"
-    return outer
+    if name in HEADINGS or (name == "header" and outer == "main"):
+        return outer
+    return _named(f"{found.get('class', '')} {found.get('id', '')}".split()) or outer
+
+
+def _named(names: list[str]) -> str:
+    """The place that class and id names give: ``aside``, or ``around`` if an article inside is main text all the same."""
+    places = set()
+    for name in filter(MARKED.fullmatch, names):
+        parts = set(_PARTS.split(name))
+        if not parts & LAYOUT:
+            places.add("around" if parts & AROUND else "aside")
+    return "aside" if "aside" in places else "around" if places else ""
 
 
 def tags(page: str):
@@ -172,6 +192,8 @@ def blocks(page: str) -> list[Block]:
         place = stack[-1][1] if stack else ""
 
     for text, name, closes, attributes in tags(page):
+        if open_["head"] and stack[-1][0] == "head" and text.strip():
+            pop_to(len(stack) - 1)
         if text and place != "hidden":
             parts.append(text)
             if in_link:
@@ -184,7 +206,11 @@ def blocks(page: str) -> list[Block]:
         if block:
             close()
         if name == "a":
-            in_link = not closes
+            in_link = not closes and _HREF.search(attributes) is not None
+        elif block and not closes:
+            in_link = False
+        if open_["head"] and not closes and name not in IN_HEAD:
+            pop_to(next(i for i, (n, _) in enumerate(stack) if n == "head"))
         if closes:
             if open_[name]:
                 depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
@@ -216,7 +242,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def _outside(block: Block) -> bool:
-    return block.place == "aside" or block.linked > LINKED * len(block.text)
+    return block.place in ("aside", "around") or block.linked > LINKED * len(block.text)
 
 
 def _stops(text: str) -> tuple[int, int]:
@@ -255,24 +281,34 @@ def decide(block: Block, known: bool = True) -> bool | None:
     return None if density >= STOP_LOW else False
 
 
+def _nearest(decided: list[bool]) -> tuple[list[int | None], list[int | None]]:
+    """For each place, the last decided one before it and the first after it."""
+    sides = []
+    for places in (range(len(decided)), range(len(decided) - 1, -1, -1)):
+        side, last = [None] * len(decided), None
+        for i in places:
+            side[i] = last
+            last = i if decided[i] else last
+        sides.append(side)
+    return sides[0], sides[1]
+
+
 def label(found: list[Block]) -> None:
     """Both passes; sets ``main`` of every block."""
     known = known_language(found)
     first = [decide(b, known) for b in found]
-    before, after = [None] * len(found), [None] * len(found)
-    last = None
-    for i, d in enumerate(first):
-        before[i] = last
-        last = i if d is not None else last
-    last = None
-    for i in range(len(found) - 1, -1, -1):
-        after[i] = last
-        last = i if first[i] is not None else last
+    # A long block that only lacks stop words decides nothing; between main text on both sides it is main text.
+    doubtful = [d is False and not _outside(b) for d, b in zip(first, found, strict=True)]
+    first = [None if x else d for d, x in zip(first, doubtful, strict=True)]
+    # Neighbours are the nearest that their own text or links decide; what a container marks only ends there.
+    before, after = _nearest([d is not None and b.place not in ("aside", "around") for d, b in zip(first, found, strict=True)])
     for i, b in enumerate(found):
         if first[i] is not None:
             b.main = first[i]
         elif b.place == "main":
             b.main = True
+        elif doubtful[i]:
+            b.main = None not in (before[i], after[i]) and bool(first[before[i]] and first[after[i]])
         elif b.heading:
             b.main = bool(after[i] is not None and first[after[i]])
         else:

@@ -127,7 +127,7 @@ from d left join hits using (doc_id) left join named using (doc_id)
 _NEAREST = """
 a{k} as (
   select row, p, x, arg_min(e, (d, e)) as e, min(d) as d
-  from (select row, p, x, e, list_sum(list_transform(list_zip(x, c), z -> (z[1] - z[2]) * (z[1] - z[2]))) as d from parts join b{k} using (p))
+  from (select row, p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from parts join b{k} using (p))
   group by row, p, x
 )"""
 _MEANS = """
@@ -139,9 +139,9 @@ m{k} as (
 CODES_SQL = """
 with kept as (
   select row_number() over (order by vec_id nulls last) as row, vec_id, label,
-         list_transform(embedding, x -> cast(floor(256.0 * cast(x as double)) as bigint)) as v
+         list_transform(embedding, lambda x: cast(floor(256.0 * cast(x as double)) as bigint)) as v
   from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), parts as (
   select row, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] as x from kept, range(16) as t(p)
 ), b0 as (select p, row - 1 as e, x as c from parts where row <= 64),""" + ",".join(
