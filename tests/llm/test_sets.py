@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 from llm.edge import TEXTS, words
+from pyspark.sql import functions as F
 
 from conftest import SF
 from tremor.llm.components import components
 from tremor.llm.decontaminate import contamination, index, items, near
-from tremor.llm.exact_dedup import Directory, exact_groups
+from tremor.llm.exact_dedup import Directory, _owned_rows, bucketed, directory, exact_groups, owned
 from tremor.llm.jaccard import apart, jaccard_components, prefix_length, similar
 from tremor.llm.shingles import shingle_sets
 
@@ -58,6 +60,32 @@ def test_directory_doubles_and_covers_all_keys():
     assert all(n <= 40 or d.local_depth[b] == 6 for b, n in enumerate(d.size))
 
 
+def test_owners_take_whole_buckets_side_by_side(spark):
+    draw = random.Random(3)
+    keys = [draw.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    rows = spark.createDataFrame([(k % 7, i, k, b"x") for i, k in enumerate(keys)], "doc_id long, row long, key long, norm binary")
+    index = directory(rows.select("key"), capacity=20, max_depth=10)
+    owned_slots = owned(index, 6)
+    slots = spark.createDataFrame(owned_slots, "slot int, bucket int, owner int")
+    assert len({b for _, b, _ in owned_slots}) > 60
+    assert [o for _, _, o in owned_slots] == sorted(o for _, _, o in owned_slots) and {o for _, _, o in owned_slots} == set(range(6))
+    dealt = _owned_rows(bucketed(rows, index, slots), 6, "owner", F.col("doc_id").asc_nulls_last())
+    held = [(r[0], r["bucket"], r["key"] % (1 << 64)) for r in dealt.select(F.spark_partition_id(), "bucket", "key").collect()]
+    assert len({(p, b) for p, b, _ in held}) == len({b for _, b, _ in held})  # a bucket is in one task
+    ends = sorted((min(k for q, _, k in held if q == p), max(k for q, _, k in held if q == p)) for p in {p for p, _, _ in held})
+    assert len(ends) == 6 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    # Without one task, exactly the keys of its buckets are gone.
+    lost = {k for p, _, k in held if p == 2}
+    assert {k for p, _, k in held if p != 2} == {k % (1 << 64) for k in keys} - lost and lost
+
+
+def test_exact_groups_of_rows_without_an_id(spark):
+    """Thousands of rows under no id and one id, most of them copies: in proportion to the rows, each by its own text."""
+    rows = [(None if i % 3 else 5, f"text {i % 50 if i % 4 else i}") for i in range(6000)]
+    got = exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), capacity=10, part_rows=30).collect()
+    assert sorted((tuple(r) for r in got), key=ROW_KEY) == brute_exact(rows)
+
+
 def brute_components(rows, words_=5):
     sets = []
     for i, t in rows:

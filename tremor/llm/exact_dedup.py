@@ -4,12 +4,12 @@ Texts are equal when identical after every run of ``[\\x20\\x09-\\x0D]`` became
 text's key is the head of its SHA-256.  The directory maps the leading bits of a key to a
 bucket, that is, a key range; it starts as one bucket and doubles where an overfull bucket has
 used up its bits.  Only counts of distinct keys under each prefix reach the driver, ``2 **
-MAX_DEPTH`` of them at most.  The directory names buckets only: tasks own keys by hash, not by
-bucket.  The owner of a key chains what shares it and compares the bytes of every text with the
-chain, so colliding keys stay apart.
+MAX_DEPTH`` of them at most.  Every owner task has buckets that lie side by side, that is a range of
+keys, goes over them in order, chains what shares a key and compares the bytes of every text with
+the chain, so colliding keys stay apart.
 
-Only rows that share a key have their texts moved.  A key with many rows is salted: each part
-is chained by itself and sends one text a link on to the owner.
+Only rows that share a key have their texts moved.  A key with many rows is salted: the parts
+but the first are chained by other tasks, and each sends one text a link on to the owner.
 
 Null texts count as empty.  A null doc_id comes after all others: it stays only among its like.
 Rows that repeat a doc_id and an equal text count each in ``group_size`` and are kept or dropped
@@ -20,19 +20,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, fresh_path
+from ..session import fresh_path, small, written
 from .common import hands, mapped, record
 
 # Keys a bucket holds before it splits, bits the directory may use, rows of a key that are chained together.
-CAPACITY = 50_000
-MAX_DEPTH = 12
+CAPACITY = 500
+MAX_DEPTH = 16
 PART_ROWS = 2_000
 
 _BLANKS = re.compile(rb"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+")
@@ -49,15 +49,18 @@ def key_of(digest: bytes, bits: int = 64) -> int:
 
 
 def entries(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """``doc_id, key, text_sha256`` of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("text_sha256", pa.string())])
+    """``row, doc_id, key, text_sha256, norm`` of every row."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("text_sha256", pa.string()), ("norm", pa.binary())])
 
     def run(batches):
         for batch in hands(batches):
-            digests = [hashlib.sha256(normalised(t)).digest() for t in batch.column("text").to_pylist()]
-            yield record(schema, doc_id=batch.column("doc_id"), key=[key_of(d, bits) for d in digests], text_sha256=[d.hex() for d in digests])
+            norms = [normalised(t) for t in batch.column("text").to_pylist()]
+            digests = [hashlib.sha256(n).digest() for n in norms]
+            yield record(schema, row=batch.column("row"), doc_id=batch.column("doc_id"), key=[key_of(d, bits) for d in digests],
+                         text_sha256=[d.hex() for d in digests], norm=norms)
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, key long, text_sha256 string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return mapped(rows, run, "row long, doc_id long, key long, text_sha256 string, norm binary")
 
 
 class Directory:
@@ -107,72 +110,58 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
     return Directory({r["p"]: r["count"] for r in counted}, capacity, max_depth)
 
 
-def as_table(spark: SparkSession, index: Directory) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(index.slots)), "slot int, bucket int")
+def owned(index: Directory, tasks: int) -> list[tuple[int, int, int]]:
+    """``slot, bucket, owner`` of every slot: an owner has buckets that lie side by side, as many as any other, or one less."""
+    first: dict[int, int] = {}
+    for slot, bucket in enumerate(index.slots):
+        first.setdefault(bucket, slot)
+    place = {bucket: i for i, bucket in enumerate(sorted(first, key=first.get))}
+    tasks = min(tasks, len(place))
+    return [(slot, bucket, place[bucket] * tasks // len(place)) for slot, bucket in enumerate(index.slots)]
 
 
 def bucketed(keys: DataFrame, index: Directory, slots: DataFrame) -> DataFrame:
-    """``keys`` with the bucket of each: that of the slot that its leading bits name.
+    """``keys`` with the bucket and the owner of each: those of the slot that its leading bits name.
 
     The directory has at most ``2 ** max_depth`` slots, so it is broadcast.
     """
-    if not index.depth:
-        return keys.withColumn("bucket", F.lit(0))
     return keys.withColumn("slot", prefix("key", index.depth)).join(F.broadcast(slots), "slot").drop("slot")
 
 
-def chained(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int | None], list[bool]]]:
-    """For rows sorted by key: the doc_id of each row's link, and whether the row began it."""
+def chained(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple], list[bool]]]:
+    """For rows sorted by key: the row and doc_id of each row's link, and whether the row began it."""
     key, links = None, []
     for batch in hands(rows, "norm"):
         reps, first = [], []
-        for k, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "norm")), strict=True):
+        for k, row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "doc_id", "norm")), strict=True):
             if k != key:
                 key, links = k, []
-            rep = next((r for t, r in links if t == text), ...)
-            first.append(rep is ...)
-            if rep is ...:
-                links.append((text, rep := doc_id))
+            rep = next((r for t, r in links if t == text), None)
+            first.append(rep is None)
+            if rep is None:
+                links.append((text, rep := (row, doc_id)))
             reps.append(rep)
         yield batch, reps, first
 
 
-_PART = "key long, doc_id long, rep_id long, norm binary"
-_LINK = "key long, rep_id long, keep_id long"
-_PART_SCHEMA = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("rep_id", pa.int64()), ("norm", pa.binary())])
-_LINK_SCHEMA = pa.schema([("key", pa.int64()), ("rep_id", pa.int64()), ("keep_id", pa.int64())])
+_PART = "bucket int, key long, row long, doc_id long, rep_row long, norm binary"
+_LINK = "rep_row long, keep_row long, keep_id long"
+_PART_SCHEMA = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("rep_row", pa.int64()), ("norm", pa.binary())])
+_LINK_SCHEMA = pa.schema([("rep_row", pa.int64()), ("keep_row", pa.int64()), ("keep_id", pa.int64())])
 
 
 def chain_parts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row with its part's link; the text goes on with the row that began the link."""
     for batch, reps, first in chained(rows):
         texts = batch.column("norm").to_pylist()
-        yield record(_PART_SCHEMA, key=batch.column("key"), doc_id=batch.column("doc_id"), rep_id=reps,
-                     norm=[t if f else None for t, f in zip(texts, first, strict=True)])
+        yield record(_PART_SCHEMA, rep_row=[r for r, _ in reps], norm=[t if f else None for t, f in zip(texts, first, strict=True)],
+                     **{c: batch.column(c) for c in ("bucket", "key", "row", "doc_id")})
 
 
 def chain_owners(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every part's link with the link of the whole key that it belongs to."""
     for batch, reps, _ in chained(rows):
-        yield record(_LINK_SCHEMA, key=batch.column("key"), rep_id=batch.column("doc_id"), keep_id=reps)
-
-
-def _texts(docs: DataFrame, bits: int) -> Callable:
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("bucket", pa.int32()), ("salt", pa.int32()), ("norm", pa.binary())])
-
-    def run(batches):
-        for batch in hands(batches):
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "key", "bucket", "salts", "text")]
-            rows = []
-            for i, (doc_id, key, bucket, salts, text) in enumerate(zip(*columns, strict=True)):
-                norm = normalised(text)
-                digest = hashlib.sha256(norm).digest()
-                if key_of(digest, bits) == key:  # else another row of the same doc_id
-                    rows.append((doc_id, key, bucket, (doc_id or i) % salts, norm))
-            if rows:
-                yield record(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
-
-    return run
+        yield record(_LINK_SCHEMA, rep_row=batch.column("row"), keep_row=[r for r, _ in reps], keep_id=[d for _, d in reps])
 
 
 def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, bits: int = 64, part_rows: int = PART_ROWS) -> DataFrame:
@@ -182,39 +171,40 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "hash-index")
-    entries(docs, bits).write.parquet(f"{path}/entries")
+    entries(docs, bits).write.option("compression", "zstd").parquet(f"{path}/entries")
     every = spark.read.parquet(f"{path}/entries")
-    keys = every.groupBy("key").agg(F.count("*").alias("n"))
+    every.groupBy("key").agg(F.count("*").alias("n")).write.parquet(f"{path}/keys")
+    keys = spark.read.schema("key long, n long").parquet(f"{path}/keys")
     index = directory(keys, capacity, max_depth)
-    as_table(spark, index).coalesce(1).write.parquet(f"{path}/directory")
-    slots = spark.read.schema("slot int, bucket int").parquet(f"{path}/directory")
-    # One row for each doc_id and key that others share, with the bucket and the parts of its key.
-    several = bucketed(keys.filter("n > 1"), index, slots).select(
-        "key", "bucket", F.ceil(F.col("n") / part_rows).cast("int").alias("salts"))
-    every.select("doc_id", "key").join(several, "key").distinct().write.parquet(f"{path}/shared")
-    shared = spark.read.parquet(f"{path}/shared")
-    if shared.count() <= BROADCAST_ROWS:
-        shared = F.broadcast(shared)
-    source = docs.select("doc_id", "text").alias("d").join(shared.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))).select(
-        "d.doc_id", "key", "bucket", "salts", "text")
-    texts = mapped(source, _texts(docs, bits), "doc_id long, key long, bucket int, salt int, norm binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.createDataFrame(owned(index, tasks), "slot int, bucket int, owner int").coalesce(1).write.parquet(f"{path}/directory")
+    slots = spark.read.schema("slot int, bucket int, owner int").parquet(f"{path}/directory")
+    several = bucketed(keys.filter("n > 1"), index, slots).select("key", "bucket", "owner", F.ceil(F.col("n") / part_rows).cast("int").alias("salts"))
+    several = small(written(several, "several-keys"))
+    # Owners take whole buckets.  Of a key of many rows only the first part is its owner's; the other parts are
+    # chained by any, and send on one text a link.
+    salt = F.pmod("row", F.col("salts"))
+    helper = F.when(salt == 0, F.col("owner")).otherwise(F.pmod(F.xxhash64("key", salt), F.lit(tasks)).cast("int"))
     by_id = F.col("doc_id").asc_nulls_last()
-    mapped(texts.repartition("bucket", "key", "salt").sortWithinPartitions("key", by_id).select("key", "doc_id", "norm"), chain_parts, _PART) \
-        .write.parquet(f"{path}/parts")
+    rows = every.select("row", "doc_id", "key", "norm").join(several, "key").withColumn("task", helper)
+    mapped(_owned_rows(rows, tasks, "task", by_id), chain_parts, _PART).write.option("compression", "zstd").parquet(f"{path}/parts")
     parts = spark.read.schema(_PART).parquet(f"{path}/parts")
-    begun = parts.filter("norm is not null")
-    mapped(begun.select("key", "doc_id", "norm").repartition("key").sortWithinPartitions("key", by_id), chain_owners, _LINK) \
-        .write.parquet(f"{path}/links")
-    links = spark.read.schema(_LINK).parquet(f"{path}/links").distinct()
-    members = parts.select("key", "doc_id", "rep_id").alias("p").join(
-        links.alias("l"), (F.col("p.key") == F.col("l.key")) & F.col("p.rep_id").eqNullSafe(F.col("l.rep_id"))).select("p.key", "doc_id", "keep_id")
-    sizes = members.groupBy("key", "keep_id").agg(F.count("*").alias("group_size"))
-    placed = members.distinct().alias("m").join(
-        sizes.alias("z"), (F.col("m.key") == F.col("z.key")) & F.col("m.keep_id").eqNullSafe(F.col("z.keep_id"))).select(
-        "m.key", "doc_id", "m.keep_id", "group_size", F.lit(True).alias("grouped"))
-    return every.alias("e").join(placed.alias("g"), (F.col("e.key") == F.col("g.key")) & F.col("e.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select(
-        "e.doc_id",
-        F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("e.doc_id")).alias("keep_id"),
+    begun = bucketed(parts.filter("norm is not null").drop("bucket"), index, slots)
+    mapped(_owned_rows(begun, tasks, "owner", by_id), chain_owners, _LINK).write.parquet(f"{path}/links")
+    # A part's row begins at most as many links as it has rows, so no link has more than ``part_rows`` rows here.
+    links = spark.read.schema(_LINK).parquet(f"{path}/links")
+    members = written(parts.select("row", "rep_row").join(links, "rep_row").select("row", "keep_row", "keep_id"), "members")
+    sizes = small(written(members.groupBy("keep_row").agg(F.count("*").alias("group_size")), "sizes"))
+    placed = members.join(sizes, "keep_row").select(F.col("row").alias("of"), "keep_id", "group_size", F.lit(True).alias("grouped"))
+    return every.join(placed, every["row"] == placed["of"], "left").select(
+        "doc_id",
+        F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.when(F.col("grouped"), F.col("keep_id").eqNullSafe(F.col("e.doc_id"))).otherwise(F.lit(True)).alias("kept"),
+        F.when(F.col("grouped"), F.col("keep_id").eqNullSafe(F.col("doc_id"))).otherwise(F.lit(True)).alias("kept"),
         "text_sha256")
+
+
+def _owned_rows(rows: DataFrame, tasks: int, task: str, by_id) -> DataFrame:
+    """The rows in the tasks that are named, sorted by bucket and key."""
+    dealt = rows.repartitionById(tasks, F.col(task))
+    return dealt.sortWithinPartitions("bucket", "key", by_id, "row").select("bucket", "key", "row", "doc_id", "norm")
