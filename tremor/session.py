@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPARK_ERRORS = (PySparkException, Py4JJavaError)
 # A side is broadcast on request only below this many rows.
 BROADCAST_ROWS = 1_000_000
+# Rows of an Arrow batch of positions.
+PRICED_ROWS = 10_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -24,6 +26,15 @@ def tune(spark: SparkSession) -> SparkSession:
     span beyond that runs interpreted.  Splitting such spans is about twice as fast.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)
+    return arrow_rows(spark, PRICED_ROWS)
+
+
+def arrow_rows(spark: SparkSession, rows: int) -> SparkSession:
+    """Rows of an Arrow batch on its way to Python, for whatever this session runs from now on.
+
+    Wide numeric rows want many, rows of whole texts few; both set it before they run.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return spark
 
 
