@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 from llm.edge import TEXTS
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF
@@ -157,3 +158,19 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     odd = [(None, "!!!"), (None, prose[0][1]), (3, "1234 ..."), (3, prose[3][1])]
     kept = stage("language_id", prose + odd)
     assert n not in kept and n + 2 not in kept and {n + 1, n + 3} <= set(kept)
+
+
+def test_pipeline_stages_on_edges(spark, edges, none, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns of the stages' own names; and no rows at all."""
+    spark.createDataFrame([(1, "some words that no text here holds at all, ten or more")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (edges, none):
+        docs = table.withColumns({c: F.lit(1) for c in ("corpus_row", "document", "corpus_doc_id", "own", "group", "first")})
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "packing":
+                assert out.select("doc_id", "piece").count() >= docs.count()
+                continue
+            assert out.columns == docs.columns and out.count() <= docs.count()
+            assert name == "decontamination" or docs.isEmpty() or 0 < out.count() < docs.count()
+            assert name != "decontamination" or out.count() == docs.count()
+        assert docs.isEmpty() or corpus_pipeline.language_id(spark, docs, str(tmp_path)).columns == docs.columns

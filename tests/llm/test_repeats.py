@@ -75,6 +75,6 @@ def test_segments_hash_alike():
 
 def test_strings_that_share_a_fingerprint_are_compared(monkeypatch):
     monkeypatch.setattr(repeats, "_powers", lambda n: (np.zeros(n, np.uint64), np.zeros(n, np.uint64)))
-    texts = [b"0123456789abcdefghijklmnop", b"0123456789abcdefghijklmnop", b"0123456789abcdeXghijklmnop"]
+    texts = [b"0123456789abcdefghijkl", b"0123456789abcdefghijkl", b"0123456789abcdeXghijkl"]
     marks = repeats.twins(np.array([2, 2, 2]), texts, 20)
     assert marks[:2, :3].all() and not marks[2].any()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import sys
+import threading
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import BROADCAST_ROWS, written
+from ..session import BROADCAST_ROWS, arrow_rows, written
 
 # A task takes at most this many texts in hand at once, and closes a hand early at this many characters.
 HAND_ROWS = 256
 HAND_CHARS = 2_000_000
 # Rows of an Arrow batch on its way to a task's Python and back.
 BATCH_ROWS = 2_000
+# Seconds without a task after which a worker forgets what it remembers of tokens.
+IDLE = 10.0
 # Parts of an array of counts that travel as rows of their own.
 CHUNKS = 64
 
@@ -53,16 +58,24 @@ def mapped(df: DataFrame, function: Callable, schema: str | StructType, tokens:
     """``mapInArrow`` over whole partitions; the function gets and gives record batches.
 
     Batches hold whole texts, so they get fewer rows than Spark would give them.  Workers serve
-    one operator after the other: unless the function encodes ``tokens``, it first frees what an
-    earlier one has remembered of them.
+    one operator after the other and stay when idle: unless the function encodes ``tokens``, it
+    first frees what an earlier one has remembered of them, and memory goes back at its end.  What is
+    remembered of tokens stays for the next task, but goes when none comes for ``IDLE`` seconds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _waiting:
+            _waiting.pop().cancel()
         if not tokens:
             forget()
-        return function(batches)
-
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        yield from function(batches)
+        release()
+        if tokens:
+            _waiting.append(threading.Timer(IDLE, _left))
+            _waiting[-1].daemon = True
+            _waiting[-1].start()
+
+    arrow_rows(df.sparkSession, BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 
@@ -74,6 +87,23 @@ def forget() -> None:
         gc.collect()
 
 
+# The timer of this worker, if it waits for a next task.
+_waiting: list[threading.Timer] = []
+
+
+def _left() -> None:
+    forget()
+    release()
+
+
+def release() -> None:
+    """Give what this worker's allocators hold, but don't use, back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A batch with the given columns in the order of the schema."""
     return pa.RecordBatch.from_arrays(

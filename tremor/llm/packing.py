@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .common import hands, mapped, record
-from .tokens import encoder
+from .tokens import MODEST, Memory, encoder
 
 LENGTH = 2048
 # Open sequences of a packer, and the pieces that a packer is to get.
@@ -40,12 +40,12 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, length) for at in range(first, n, length))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, memory: Memory = MODEST) -> DataFrame:
     """The pieces of every whole text with the end id, and the checksum of each."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        encode, end = encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer, memory).encode, np.array([end_id], dtype="<u4").tobytes()
         for batch in hands(batches):
             ids, rows = batch.column("doc_id").to_pylist(), []
             for doc_id, text in zip(ids, batch.column("text").to_pylist(), strict=True):
@@ -110,6 +110,7 @@ def packed(cut_pieces: DataFrame, length: int = LENGTH, bins: int = OPEN, per_pa
     return mapped(dealt, run, _PLACED)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, bins: int = OPEN, per_packer: int = PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, bins: int = OPEN, per_packer: int = PIECES,
+         memory: Memory = MODEST) -> DataFrame:
     """Cut and pack all documents.  The pieces (numbers only) are written once to the shared folder."""
-    return packed(written(pieces(docs, tokenizer, end_id, length), "pieces"), length, bins, per_packer)
+    return packed(written(pieces(docs, tokenizer, end_id, length, memory), "pieces"), length, bins, per_packer)

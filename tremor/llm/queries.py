@@ -11,6 +11,7 @@ from ..session import fresh_path
 from . import (decontaminate, exact_dedup, html_text, jaccard, language, licenses, packing, pii, quality_rank, repeats, token_file,
                vector_codes, whitening)
 from .common import table, tokenizer_path
+from .tokens import AMPLE
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0, memory=AMPLE)
 
 
 def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

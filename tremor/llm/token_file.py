@@ -26,10 +26,9 @@ from pyspark.sql.window import Window
 
 from ..session import fresh_path
 from .common import hands, mapped, record
-from .tokens import encoder
+from .tokens import AMPLE, Memory, encoder
 
 _IDS = "doc_id long, ids binary"
-_CODED = "doc_id long, n_tokens long, control binary, data binary"
 _SHARD = "shard int, doc_id long, local_start long, n_tokens long, control binary, data binary"
 _READ = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -78,13 +77,13 @@ def _span(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, np.diff(offsets).astype(np.int64)
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int, memory: Memory = AMPLE) -> DataFrame:
     """``doc_id, ids``: ids of the whole texts with the end id, as little-endian unsigned integers of 16 or 32 bits."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     width = id_width(path)
 
     def run(batches):
-        encode, end = encoder(path).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(path, memory).encode, np.array([end_id], dtype="<u4").tobytes()
         for batch in hands(batches):
             parts = [encode(t) + end for t in batch.column("text").to_pylist()]
             counts = np.array([len(p) // 4 for p in parts], dtype=np.int64)
@@ -138,29 +137,26 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> TokenFile:
     id_of = np.array([r[0] for r in counted], dtype="<u4")
     rank_of = np.zeros(int(id_of.max()) + 1 if len(id_of) else 1, dtype="<u4")
     rank_of[id_of] = np.arange(len(id_of), dtype="<u4")
-    coded_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
-    shard_schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), *list(coded_schema)[1:]])
+    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()),
+                        ("control", pa.binary()), ("data", pa.binary())])
 
     def coded(batches):
+        at, shard = 0, TaskContext.get().partitionId()
         for batch in hands(batches, "ids"):
             raw, sizes = _span(batch.column("ids"))
             ids = np.frombuffer(raw.tobytes(), dtype=width)
             counts = sizes // ids.itemsize
             control, control_ends, data, data_ends = encode_ranks(rank_of[ids], counts)
-            yield record(coded_schema, doc_id=batch.column("doc_id"), n_tokens=pa.array(counts),
-                         control=_binary(control, control_ends), data=_binary(data, data_ends))
-
-    def placed(batches):
-        at, shard = 0, TaskContext.get().partitionId()
-        for batch in batches:
-            counts = batch.column("n_tokens").to_numpy()
             ends = at + np.cumsum(counts)
-            yield record(shard_schema, shard=pa.array(np.full(len(counts), shard, dtype=np.int32)), doc_id=batch.column("doc_id"),
-                         local_start=pa.array(ends - counts), **{c: batch.column(c) for c in ("n_tokens", "control", "data")})
-            at = int(ends[-1]) if len(ends) else at
-
-    ordered = mapped(tokens, coded, _CODED).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "data")
-    mapped(ordered, placed, _SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
+            yield record(schema, shard=pa.array(np.full(len(counts), shard, dtype=np.int32)), doc_id=batch.column("doc_id"), local_start=pa.array(ends - counts),
+                         n_tokens=pa.array(counts), control=_binary(control, control_ends), data=_binary(data, data_ends))
+            at = int(ends[-1])
+
+    # Put in order before they are coded: finding the ranges reads the rows once more, which should cost no coding.
+    # Length and hash spread the rows of one doc_id, or of none, over tasks.
+    order = ["doc_id", F.length("ids"), F.xxhash64("ids")]
+    ordered = tokens.repartitionByRange(*order).sortWithinPartitions(*order)
+    mapped(ordered, coded, _SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(id_of)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     return TokenFile(path, id_of)
 

@@ -15,19 +15,33 @@ import os
 import re
 import sys
 from array import array
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 
-# Bound on remembered chunks and pieces of a worker, and on the length of what is remembered.
-CHUNKS = 200_000
-PIECES = 120_000
+# Bound on the length of what is remembered.
 LONGEST = 48
 
+
+@dataclass(frozen=True)
+class Memory:
+    """Bounds on the chunks and pieces that a worker remembers.  Results are the same under any; an entry takes some 200 bytes."""
+
+    chunks: int
+    pieces: int
+
+
+# For a job that only encodes, and for one stage among others that share an executor.
+AMPLE = Memory(2_000_000, 700_000)
+MODEST = Memory(120_000, 80_000)
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile("[\\x20-\\x7e\\n" + _LETTERS + "]*")
-_UNEVEN = re.compile(r"  |[^\S ] |^ | $")
+# White space other than a space, before one.
+_ASCII_UNEVEN, _OTHER_UNEVEN = ([chr(c) + " " for c in codes if chr(c).isspace()] for codes in (range(128), range(128, 0x3001)))
 _EDGE = re.compile(r"(?<=\S)(?= )")
+_MARKS = set(",.;:!?")
 # The splitting rules of the two files, for plain characters.
 _RULES = {
     "word": re.compile("'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTERS + "]+|[0-9]|[^\\s" + _LETTERS + "0-9]+"),
@@ -36,6 +50,13 @@ _RULES = {
 }
 
 
+def uneven(text: str) -> bool:
+    """Whether some run of white space isn't one space between two other characters, or ends in another one than a space."""
+    if text[0] == " " or text[-1] == " " or any(x in text for x in _ASCII_UNEVEN):
+        return True
+    return not text.isascii() and any(x in text for x in _OTHER_UNEVEN)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in the vocabulary: printable ones for themselves, others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,7 +91,7 @@ class Encoder:
     Special strings in a text are ordinary text.  Null counts as empty.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: Memory = MODEST):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,22 +99,24 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.model = self.library.model
         self.letters = _byte_letters()
-        with open(path, encoding="utf-8") as f:
-            described = json.load(f)
-        self.drops_spaces = described["model"].get("end_of_word_suffix") == "</w>"
-        self.rule = self._rule(described)
+        self.drops_spaces = getattr(self.model, "end_of_word_suffix", None) == "</w>"
+        self.rule = self._rule()
         self.lower = self.drops_spaces
-        self.pieces = Memo(PIECES, self.piece_ids)
-        self.head = Memo(CHUNKS // 8, self.chunk_ids)
-        self.inner = Memo(CHUNKS, self.chunk_ids if self.drops_spaces else lambda chunk: self.chunk_ids(" " + chunk))
+        self.pieces = Memo(memory.pieces, self.piece_ids)
+        self.head = Memo(memory.chunks // 8, self.chunk_ids)
+        self.inner = Memo(memory.chunks, self.chunk_ids if self.drops_spaces else lambda chunk: self.chunk_ids(" " + chunk))
+
+    def _rule(self):
+        """The written-out rule, or none if the file is of another kind than the two that are known.
 
-    def _rule(self, described: dict):
-        """The written-out rule, or none if the file is of another kind than the two that are known."""
-        steps = described["pre_tokenizer"] or {}
+        Read from the parts of the loaded tokenizer, which hold no vocabulary.
+        """
+        told = lambda part: None if part is None else json.loads(part.__getstate__())
+        steps = told(self.library.pre_tokenizer) or {}
         kinds = [s["type"] for s in steps.get("pretokenizers", [steps])]
         if self.drops_spaces and kinds == ["Split", "ByteLevel"]:
             return _RULES["word"]
-        if kinds == ["ByteLevel"] and described["normalizer"] is None and not steps.get("add_prefix_space"):
+        if kinds == ["ByteLevel"] and self.library.normalizer is None and not steps.get("add_prefix_space"):
             return _RULES["byte"]
         return None
 
@@ -101,6 +124,14 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def chunk_ids(self, chunk: str) -> bytes:
+        # A word, or a word and one mark: most chunks, and no rule is needed to tell their pieces.
+        if chunk.isascii():
+            word = chunk.lstrip(" ")
+            if len(chunk) - len(word) <= 1 - self.drops_spaces:
+                if word.isalpha():
+                    return self.pieces[chunk.lower() if self.lower else chunk]
+                if word[-1:] in _MARKS and word[:-1].isalpha():
+                    return self.pieces[chunk[:-1].lower() if self.lower else chunk[:-1]] + self.pieces[chunk[-1]]
         if _PLAIN.fullmatch(chunk) is None:
             return self.whole(chunk)
         if self.lower:
@@ -108,7 +139,10 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.rule.findall(chunk)))
 
     def piece_ids(self, piece: str) -> bytes:
-        written = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii():  # plain, so only the two that aren't shown as themselves are rewritten
+            written = piece.replace(" ", self.letters[32]).replace("\n", self.letters[10])
+        else:
+            written = piece.encode().decode("latin-1").translate(self.letters)
         ids = array("I", [token.id for token in self.model.tokenize(written)])
         return ids.tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
@@ -116,7 +150,7 @@ class Encoder:
         """Keys into ``head`` and ``inner``, in order."""
         if self.drops_spaces:
             return [], text.split(" ")
-        if _UNEVEN.search(text) is None:
+        if not uneven(text):
             first, *rest = text.split(" ")
             return [first], rest
         return _EDGE.split(text), []
@@ -130,7 +164,7 @@ class Encoder:
         return b"".join([*map(self.head.__getitem__, first), *map(self.inner.__getitem__, rest)])
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=2)
+def encoder(path: str, memory: Memory = MODEST) -> Encoder:
     """One encoder a worker process and file."""
-    return Encoder(path)
+    return Encoder(path, memory)
