@@ -4,6 +4,11 @@ Decisions fall on rows.  Where an operator compares rows, the stage gives each r
 written with the row, and the operator sees that in place of doc_id.  So rows with a null doc_id, and
 rows that repeat one, are each kept or dropped by their own text.  Of equal or similar rows the one of
 the smallest doc_id stays; a null doc_id comes after all others, rows of one doc_id in table order.
+
+A null text counts as empty.  Language identification rejects both, as it does texts without a letter;
+the stages after it would keep one empty text, and every row without a passage of the benchmark.  An empty
+table passes through all stages.  Further columns are carried along, whatever their names; a stage's own
+columns take names that are free.
 """
 
 from __future__ import annotations
@@ -22,25 +27,23 @@ ROW = "corpus_row"
 
 
 def rowed(docs: DataFrame) -> DataFrame:
-    """The rows, each with its key, written so that every later look at them finds the same keys."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """``corpus_row, document``: each row whole, with its key, written so that every later look finds the same keys."""
+    return written(docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")), "rows")
 
 
 def by_row(rows: DataFrame) -> DataFrame:
     """What operators get: the row key as doc_id, and the text."""
-    return rows.select(F.col(ROW).alias("doc_id"), "text")
+    return rows.select(F.col(ROW).alias("doc_id"), "document.text")
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose key isn't a doc_id of ``gone``, without the key."""
-    ids = rows.columns
-    held = rows.withColumnRenamed("doc_id", "corpus_doc_id").withColumnRenamed(ROW, "doc_id")
-    return keyed(held, gone, "left_anti").select(*(F.col("corpus_doc_id").alias("doc_id") if c == "doc_id" else c for c in ids if c != ROW))
+    """The documents whose key isn't a doc_id of ``gone``."""
+    return keyed(rows.withColumnRenamed(ROW, "doc_id"), gone, "left_anti").select("document.*")
 
 
 def others(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Of ``doc_id, group`` by row key, the rows that aren't the first of their group."""
-    members = written(groups.join(rows.select(F.col(ROW).alias("doc_id"), F.col("doc_id").alias("own")), "doc_id"), "members")
+    members = written(groups.join(rows.select(F.col(ROW).alias("doc_id"), F.col("document.doc_id").alias("own")), "doc_id"), "members")
     first = members.groupBy("group").agg(F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("doc_id"))
     return members.select("doc_id").join(first, "doc_id", "left_anti")
 
