@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.alerts import (EVERY_BATCH, STATE, AlertRule, breaches, evaluate, events,
                                 reconcile, to_notify)
+from ..operators.distinct import bitmaps, dictionary, level_counts
 from ..operators.filters import Filter, typed_path
 from ..operators.flatten import flatten, report_rows
 from ..operators.pivot import (PivotRequest, cardinalities, distinct_values, null_nonfinite, pivot,
@@ -278,6 +279,28 @@ S_CARDINALITY = Q.with_book("SELECT " + ", ".join(
     ("firm", "desk", "master_account", "account", "sector", "industry", "underlying",
      "instrument_type", "expiry", "strike", "right", "contract")) + " FROM book")
 
+COUNTED = ("underlying", "contract", "strike", "expiry")
+
+
+def q_details_from_bitmaps(spark, d):
+    """Distinct details of accounts, folded to masters, desks and firms without another look at the positions."""
+    b = book(spark, d).withColumn("expiry", F.when(F.col("is_option"), F.col("expiry")))
+    codes = dictionary(b, COUNTED)
+    maps = written(bitmaps(b, ACCOUNT_DRILL, COUNTED, codes), "bitmaps")
+    levels = [ACCOUNT_DRILL[:n] for n in (4, 3, 2, 1)]
+    return rounded(level_counts(maps, levels, COUNTED))
+
+
+def _counted_sql(n: int) -> str:
+    keys = ", ".join(ACCOUNT_DRILL[:n])
+    rest = "".join(f", NULL::VARCHAR AS {c}" for c in ACCOUNT_DRILL[n:])
+    counts = ", ".join(f"count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS {c}__n" for c in COUNTED)
+    return f"SELECT {n}::BIGINT AS level, {keys}{rest}, {counts} FROM b GROUP BY {keys}"
+
+
+S_DETAILS_FROM_BITMAPS = Q.with_book("").rstrip() + """, b AS (SELECT * REPLACE (CASE WHEN is_option THEN expiry END AS expiry) FROM book)
+""" + " UNION ALL BY NAME ".join(f"({_counted_sql(n)})" for n in (4, 3, 2, 1))
+
 TREE = PivotRequest(("firm", "desk", "account"), sort=(("worst", False),), detail_dimensions=("sector",))
 
 
@@ -563,6 +586,7 @@ QUERIES = {
     "filter_pre_post": (q_filter_pre_post, S_FILTER_PRE_POST),
     "typed_path": (q_typed_path, S_TYPED_PATH),
     "distinct_values": (q_distinct_values, S_DISTINCT_VALUES),
+    "details_from_bitmaps": (q_details_from_bitmaps, S_DETAILS_FROM_BITMAPS),
     "distinct_values_all": (q_distinct_values_all, S_DISTINCT_VALUES_ALL),
     "unknown_op": (q_unknown_op, S_UNKNOWN_OP),
     "alert_shared_scan": (q_alert_shared_scan, S_ALERT_SHARED_SCAN),
