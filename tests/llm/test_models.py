@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 from llm.edge import TEXTS
 from pyspark.sql import functions as F
 
@@ -45,6 +46,61 @@ def test_prediction_looks_at_the_text_only(spark):
     assert a == b
 
 
+def plain_buckets(text):
+    """Bucket -> count of a text's n-grams, one character after the other."""
+    mask, (f0, f1, f2) = 0xFFFFFFFF, (int(f) for f in language._FACTORS)
+    text, spaced = text.lower(), " "
+    for i, c in enumerate(text):
+        if c.isalpha():
+            spaced += c
+        elif i and text[i - 1].isalpha():
+            spaced += " "
+    spaced += " "
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(spaced) - n + 1):
+            h = (ord(spaced[i]) * f0 + 1) & mask
+            for c in spaced[i + 1:i + n]:
+                h = ((h ^ h >> 15) * f1 + ord(c) * f2) & mask
+            h = (h ^ h >> 13) * f2 & mask
+            b = (h ^ h >> 16) >> (32 - language.BITS)
+            counts[b] = counts.get(b, 0) + 1
+    return counts
+
+
+def test_predictions_are_those_of_a_plain_softmax(spark, edges):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(language.learnable(docs))
+    rows = [*docs.limit(60).collect(), *edges.select("doc_id", "text", "lang").collect()]
+    got = language.predict(spark.createDataFrame([(i, r["text"]) for i, r in enumerate(rows)], "doc_id long, text string"), model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = rows[r["doc_id"]]["text"] or ""
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        counts = plain_buckets(text)
+        total = sum(counts.values())
+        z = [(float(model.bias[k]) + sum(n / total * float(model.weights[b, k]) for b, n in counts.items())) / model.temperature for k in range(len(model.languages))]
+        p = [np.exp(x - max(z)) for x in z]
+        assert r["score"] == pytest.approx(max(p) / sum(p), rel=1e-5) and r["lang_pred"] == model.languages[p.index(max(p))]
+
+
+def test_scores_are_those_of_plain_weights(spark, edges):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = quality_rank.written(quality_rank.measured(docs.select("doc_id", "text").unionByName(edges.select("doc_id", "text"))), "measures")
+    ranker = quality_rank.trained(known, labels)
+    scored = quality_rank.mapped(known, quality_rank._scorer(ranker.scores, "score"), "doc_id long, score double").collect()
+    plain = []
+    for r in known.collect():
+        raw, at = 0.0, 0
+        for value, edges_ in zip(r["measures"], ranker.edges, strict=True):
+            raw += float(ranker.weights[at + sum(value >= e for e in edges_)])
+            at += len(edges_) + 1
+        plain.append((str(r["doc_id"]), 1 / (1 + np.exp(-(raw - ranker.threshold) / ranker.scale))))
+    assert sorted((str(r["doc_id"]), round(r["score"], 9)) for r in scored) == sorted((i, round(float(x), 9)) for i, x in plain)
+
+
 def test_temperature_softens_overconfidence():
     draw = np.random.default_rng(1)
     labels = draw.integers(0, 3, 3000)
