@@ -48,19 +48,36 @@ def key_of(digest: bytes, bits: int = 64) -> int:
     return head - (1 << 64) if head >> 63 else head
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, text``: a number for each row, the same whenever the same files are read."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
 def entries(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """``row, doc_id, key, text_sha256, norm`` of every row."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("text_sha256", pa.string()), ("norm", pa.binary())])
+    """``row, doc_id, key, text_sha256`` of every row."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("text_sha256", pa.string())])
+
+    def run(batches):
+        for batch in hands(batches):
+            digests = [hashlib.sha256(normalised(t)).digest() for t in batch.column("text").to_pylist()]
+            yield record(schema, row=batch.column("row"), doc_id=batch.column("doc_id"), key=[key_of(d, bits) for d in digests], text_sha256=[d.hex() for d in digests])
+
+    return mapped(numbered(docs), run, "row long, doc_id long, key long, text_sha256 string")
+
+
+def texts_of(docs: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
+    """``shared`` (``row, key, bucket, task``) with the doc_id and normalised text of each row, read once more and checked against the key."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("bucket", pa.int32()), ("task", pa.int32()), ("norm", pa.binary())])
 
     def run(batches):
         for batch in hands(batches):
             norms = [normalised(t) for t in batch.column("text").to_pylist()]
-            digests = [hashlib.sha256(n).digest() for n in norms]
-            yield record(schema, row=batch.column("row"), doc_id=batch.column("doc_id"), key=[key_of(d, bits) for d in digests],
-                         text_sha256=[d.hex() for d in digests], norm=norms)
+            if [key_of(hashlib.sha256(n).digest(), bits) for n in norms] != batch.column("key").to_pylist():
+                raise RuntimeError("the documents came in another order than before: write them to a table first")
+            yield record(schema, norm=norms, **{c: batch.column(c) for c in ("row", "doc_id", "key", "bucket", "task")})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return mapped(rows, run, "row long, doc_id long, key long, text_sha256 string, norm binary")
+    rows = numbered(docs).join(shared, "row")
+    return mapped(rows, run, "row long, doc_id long, key long, bucket int, task int, norm binary")
 
 
 class Directory:
@@ -171,7 +188,7 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "hash-index")
-    entries(docs, bits).write.option("compression", "zstd").parquet(f"{path}/entries")
+    entries(docs, bits).write.parquet(f"{path}/entries")
     every = spark.read.parquet(f"{path}/entries")
     every.groupBy("key").agg(F.count("*").alias("n")).write.parquet(f"{path}/keys")
     keys = spark.read.schema("key long, n long").parquet(f"{path}/keys")
@@ -186,7 +203,8 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     salt = F.pmod("row", F.col("salts"))
     helper = F.when(salt == 0, F.col("owner")).otherwise(F.pmod(F.xxhash64("key", salt), F.lit(tasks)).cast("int"))
     by_id = F.col("doc_id").asc_nulls_last()
-    rows = every.select("row", "doc_id", "key", "norm").join(several, "key").withColumn("task", helper)
+    shared = every.select("row", "key").join(several, "key").select("row", "key", "bucket", helper.alias("task"))
+    rows = texts_of(docs, small(written(shared, "shared")), bits)
     mapped(_owned_rows(rows, tasks, "task", by_id), chain_parts, _PART).write.option("compression", "zstd").parquet(f"{path}/parts")
     parts = spark.read.schema(_PART).parquet(f"{path}/parts")
     begun = bucketed(parts.filter("norm is not null").drop("bucket"), index, slots)
