@@ -315,6 +315,24 @@ def test_forms_that_were_not_learned_from(spark):
     assert {kind: sum(h) / len(h) >= 0.9 for kind, h in hits.items()} == dict.fromkeys(HELD_OUT, True), {k: sum(h) / len(h) for k, h in hits.items()}
 
 
+def test_every_case_is_learned_from(spark):
+    """Counts, trees and thresholds come from all documents, and are the same from passes over the table and from held cases."""
+    from tremor.llm.boosting import boost_cases
+
+    texts = [f"mail {'x' * (i % 40)}{i}@host{i % 7}.example or +1 212 555 {i:06d} from 10.{i % 256}.3.{i % 250}, not 1.2.3.{300 + i}" for i in range(9_000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    known = pii.written(pii.case_counts(docs), "cases")
+    assert known.agg({"n": "sum"}).first()[0] == sum(len(pii.cases(t, len(t))) for t in texts) > 200_000
+    used = known.filter("not aside")
+    a, b = (boost_cases(used, pii.EDGES, trees=7, held=held) for held in (0, 1 << 30))
+    assert all((x.feature == y.feature).all() and (x.bound == y.bound).all() and (x.value == y.value).all() for x, y in zip(a.trees, b.trees, strict=True))
+
+
+def test_thresholds_count_all_cases_of_a_level():
+    found = pii.thresholds(np.array([0.9, 0.8, 0.8, 0.6]), np.array([1, 1, 0, 0]), np.zeros(4, int), np.array([900, 100, 10, 500]))
+    assert found["email"] == pytest.approx(0.7) and found["card"] == 0.9
+
+
 @pytest.mark.parametrize("text", ["password: swordfish!", "secret: hunterhunter", "jane@example [dot] com", "mail jane at example dot com", "fe80:0:0:0:abcd:12:ff:1"])
 def test_every_generator_is_asked(text):
     assert pii.proposals(text)

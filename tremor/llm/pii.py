@@ -3,15 +3,15 @@
 The base spans of four kinds (email, ip, card, phone) follow fixed patterns and checks and
 always stay.  Generators of high recall propose further spans: looser forms of the four, and
 secrets and account numbers.  A gradient-boosted model scores each proposal by its format and
-its context; its probabilities are calibrated on cases set aside, and each kind has the lowest
-threshold (halfway to the next case) at which those cases reach ``PRECISION``.  Chosen spans that overlap no base span and
+its context; its probabilities are calibrated on a quarter of the cases, set aside, and each kind has the
+lowest threshold (halfway to the next case) at which those cases reach ``PRECISION``.  Chosen spans that overlap no base span and
 no better chosen one are added.
 
 There are no labelled spans, so the model learns from the corpus by rules that are sure: base
 spans, in their contexts and also written in other ways (spaced, spelled out, without a country
 code), are positive; proposals that fail the checks, and look-alikes (dates, versions, sums,
-order numbers, digests) put in the same contexts, are negative.  At most about ``FIT_DOCS``
-documents give at most ``FIT_CASES`` spans.
+order numbers, digests) put in the same contexts, are negative.  Every document gives its cases, and
+all of them are learned from, in tasks: equal cases are counted, each tree level is a pass over them.
 
 Positions are code points, the end is exclusive.  Null texts count as empty.  A null doc_id
 stays null; rows that repeat are each looked at; further columns are ignored.
@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Boosted, boost, calibrate
+from ..session import written
+from .boosting import BINS, STEPS, Boosted, boost_cases, margin_counts, platt, sigmoid
 from .common import hands, mapped, record
 
 KINDS = ("email", "ip", "card", "phone", "secret", "account")
 BASE = KINDS[:4]
-# Bounds on what the model is learned from.
-FIT_DOCS = 6_000
-FIT_CASES = 20_000
+# Fewer cases than this teach nothing, and one of so many is set aside.
+FEWEST = 50
+ASIDE = 4
 PRECISION = 0.98
 CONTEXT = 40
 
@@ -138,6 +141,12 @@ def features(kind: str, value: str, before: str, after: str) -> list[float]:
     ]
 
 
+# The bins of the features, in their order.
+_FLAG, _COUNT, _SHARE, _ENTROPY = (np.array(e, dtype=float) for e in (
+    [0.5], [*range(21), 22, 24, 28, 32, 36, 40, 48, 64, 128, 256], np.arange(1, BINS) / BINS, np.arange(1, BINS) / 5))
+EDGES = [*[_FLAG] * len(KINDS), *[_COUNT] * 5, _SHARE, _SHARE, *[_COUNT] * 3, *[_FLAG] * 3, _ENTROPY, _FLAG, *[_COUNT] * 3, _FLAG, _COUNT, *[_FLAG] * 7]
+
+
 def _rewritten(kind: str, value: str, draw: random.Random) -> tuple[str, str]:
     """A base span written in another way that only the generators know, or as another kind of personal data."""
     digits = re.sub("[^0-9]", "", value)
@@ -212,48 +221,59 @@ class Chooser:
     thresholds: dict[str, float]
 
 
-def fit(docs: DataFrame, rows: int = FIT_DOCS, most: int = FIT_CASES) -> Chooser:
-    """Learn from about ``rows`` documents with digits or an @, chosen by a hash."""
-    marked = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
-    n = marked.count()
-    if not n:
-        return Chooser(None, {})
-    sample = marked.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows / n)) + 1)
-    schema = pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int32())])
+def case_counts(docs: DataFrame) -> DataFrame:
+    """``x, y, aside, n``: the different binned cases of all documents, and how many there are of each."""
+    schema = pa.schema([("x", pa.binary()), ("y", pa.int32()), ("aside", pa.bool_()), ("n", pa.int64())])
+    binned = Boosted(EDGES, 0.0, 0.0).binned
 
     def run(batches):
         for batch in hands(batches):
-            got = [c for t in batch.column("text").to_pylist() for c in cases(t, len(t))]
-            if got:
-                yield record(schema, x=[g[0] for g in got], y=[g[1] for g in got])
-
-    # Which cases are taken depends on what they are, not on how the table is cut into files.
-    by_hash = mapped(sample, run, "x array<double>, y int").orderBy(F.xxhash64("x", "y"), "x", "y").limit(most)
-    got = sorted((r["x"], r["y"]) for r in by_hash.collect())
-    x, y = np.array([g[0] for g in got]), np.array([g[1] for g in got], dtype=float)
-    if len(got) < 50 or y.min() == y.max():
+            counts = Counter()
+            for text in batch.column("text").to_pylist():
+                # Which cases are set aside depends on the text, not on how the table is cut into files.
+                draw = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+                if got := cases(text, len(text)):
+                    counts.update((x.tobytes(), y, not draw.randrange(ASIDE)) for x, (_, y) in zip(binned(np.array([c[0] for c in got])).astype(np.uint8), got, strict=True))
+            if counts:
+                x, y, aside = zip(*counts, strict=True)
+                yield record(schema, x=list(x), y=list(y), aside=list(aside), n=list(counts.values()))
+
+    # A text without a digit or an @ has no base span, and no match that fails.
+    marked = docs.select("text").filter(F.col("text").rlike("[0-9@]"))
+    return mapped(marked, run, "x binary, y int, aside boolean, n long").groupBy("x", "y", "aside").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame) -> Chooser:
+    """Learn from the cases of all documents."""
+    known = written(case_counts(docs), "cases")
+    n = {(r["aside"], r["y"]): r["n"] for r in known.groupBy("aside", "y").agg(F.sum("n").alias("n")).collect()}
+    if sum(n.values()) < FEWEST or len(n) < 4:
         return Chooser(None, {})
-    order = np.random.default_rng(5).permutation(len(y))
-    aside, used = order[::4], np.setdiff1d(order, order[::4])
-    model = boost(x[used], y[used])
-    calibrate(model, x[aside], y[aside])
-    return Chooser(model, thresholds(model.probability(x[aside]), y[aside], x[aside]))
+    model = boost_cases(known.filter("not aside"), EDGES)
+    # One row for each margin there is, kind and label.
+    rows = sorted(tuple(r) for r in margin_counts(known.filter("aside"), model, len(KINDS)).collect())
+    kind, y, step, n = (np.array(c) for c in zip(*rows, strict=True))
+    platt(model, step / STEPS, y, n)
+    return Chooser(model, thresholds(sigmoid(model.slope * step / STEPS + model.shift), y, kind, n))
+
 
+def thresholds(p: np.ndarray, y: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> dict[str, float]:
+    """The lowest probability, of at least a half, at which each kind's cases reach the precision; kinds without cases take 0.9.
 
-def thresholds(p: np.ndarray, y: np.ndarray, x: np.ndarray) -> dict[str, float]:
-    """The lowest probability, of at least a half, at which each kind's cases reach the precision; kinds without cases take 0.9."""
+    There are ``n`` cases of each probability, label and kind.
+    """
     out = {}
     for i, kind in enumerate(KINDS):
-        of = np.flatnonzero(x[:, i] == 1)
-        of = of[np.argsort(-p[of])]
-        exact = np.cumsum(y[of]) / np.arange(1, len(of) + 1)
-        good = np.flatnonzero(exact >= PRECISION)
+        of = kinds == i
+        level, place = np.unique(-p[of], return_inverse=True)
+        right, all_ = (np.cumsum(np.bincount(place, w[of], len(level))) for w in (n * y, n))
+        good = np.flatnonzero(right >= PRECISION * all_)
         if not len(good):
             out[kind] = 0.9
             continue
         last = good[-1]
-        below = p[of[last + 1]] if last + 1 < len(of) else 0.0
-        out[kind] = float(max(0.5, (p[of[last]] + below) / 2))
+        below = -level[last + 1] if last + 1 < len(level) else 0.0
+        out[kind] = float(max(0.5, (-level[last] + below) / 2))
     return out
 
 
