@@ -78,3 +78,16 @@ def test_strings_that_share_a_fingerprint_are_compared(monkeypatch):
     texts = [b"0123456789abcdefghijkl", b"0123456789abcdefghijkl", b"0123456789abcdeXghijkl"]
     marks = repeats.twins(np.array([2, 2, 2]), texts, 20)
     assert marks[:2, :3].all() and not marks[2].any()
+
+
+def test_texts_are_dealt_once(spark):
+    """Joins read blocks from buckets by their number and don't send the texts again; no table stays in the catalog."""
+    from tremor.llm.repeats import repeated_spans
+
+    docs = spark.createDataFrame([(i, f"{i} " * 90 + "shared words " * 30) for i in range(40)], "doc_id long, text string").repartition(3)
+    found = repeated_spans(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "body" in line)
+    assert "Bucketed: true" in scan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tremor_")]
+    assert found.filter("size(spans) = 0").count() == 0

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small, written
+from ..session import fresh_path, small, written
 from .common import mapped, record
 
 LENGTH = 200
@@ -48,12 +48,18 @@ COVERS = {
 BLOCK = 4 << 20
 SEGMENT = 1 << 20
 BUCKET = 2_000_000
+# Of the compression of blocks, which are kept and sent.
+LEVEL = 7
+# Full blocks to a bucket, at most, on average.
+TOGETHER = 16
 SORTED = 20_000
 # Different contexts of one rank that a task sorts; ranks of more are grouped over many tasks.
 SPLIT = 50_000
 
 _BASE = 0x9E3779B97F4A7C15
-_SHORT = np.uint64((1 << 56) - 1)
+# Bits of the fingerprints by which ranks are first told to be shared.
+_BITS = 48
+_SHORT = np.uint64((1 << _BITS) - 1)
 _BLOCKS = "block long, doc_ids array<long>, sizes array<long>, hashes array<binary>, body binary"
 
 
@@ -127,7 +133,7 @@ def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=LEVEL)
         held: list[tuple] = []
         made, size = TaskContext.get().partitionId() << 32, 0
 
@@ -147,7 +153,24 @@ def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield block()
 
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
-    return written(mapped(named, run, _BLOCKS), "blocks")
+    size = named.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    return by_block(mapped(named, run, _BLOCKS), math.ceil(size / BLOCK / TOGETHER))
+
+
+def by_block(blocks: DataFrame, buckets: int) -> DataFrame:
+    """The blocks dealt once into so many buckets, or as many as shuffles have, by their number: no later join sends their texts again.
+
+    Buckets are known to the catalog only, so the files under the shared folder have an entry there while they are opened.
+    """
+    spark = blocks.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+    path = fresh_path(spark, "blocks")
+    name = "tremor_" + path.rsplit("-", 1)[-1]
+    blocks.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"drop table {name}")
 
 
 def _opened(body: bytes) -> np.ndarray:
@@ -204,7 +227,7 @@ def ranked(blocks: DataFrame, length: int) -> DataFrame:
                 # As short as they are, two different strings rarely agree, and that costs work only.
                 found, n = np.unique(fingerprints(_opened(body), place, reach) & _SHORT, return_counts=True)
                 found = np.repeat(found, np.minimum(n, 2))
-                which = (found.astype(np.float64) / 2.0 ** 56 * buckets).astype(np.int64)
+                which = (found.astype(np.float64) / 2.0 ** _BITS * buckets).astype(np.int64)
                 edge = np.flatnonzero(np.diff(which, prepend=-1))
                 yield record(sent, bucket=which[edge].tolist(), block=[block] * len(edge), ranks=[
                     _planes(found[a:b]) for a, b in zip(edge, np.append(edge[1:], len(found)), strict=True)])
@@ -310,7 +333,8 @@ def sent_contexts(blocks: DataFrame, wanted: DataFrame, length: int) -> DataFram
                 rank, mark, left, right = _contexts(data, place, before, behind, length)
                 own = _keys(rank.view(np.int64), mark.view(np.int64))
                 found, first = np.unique(own, return_index=True)
-                first = first[np.isin(found, _keys(ranks, marks))]
+                # In text order, where neighbours overlap and compress well.
+                first = np.sort(first[np.isin(found, _keys(ranks, marks))])
                 view = data.tobytes()
                 yield record(schema, rank=pa.array(rank[first].view(np.int64)), context=pa.array(mark[first].view(np.int64)), left=pa.array(left[first].astype(np.int32)),
                              bytes=[view[p - a:p + b] for p, a, b in zip(place[first].tolist(), left[first].tolist(), right[first].tolist(), strict=True)])
