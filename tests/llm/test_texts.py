@@ -366,3 +366,22 @@ def test_given_pages_without_what_may_be_left_out(spark):
     assert sum(a == b for a, b in zip(whole, bare, strict=True)) >= 0.95 * len(pages)
     # What comes out is never anything else than what the article holds.
     assert all(set(b.split("\n")) <= set(a.split("\n")) | {""} for a, b in zip(whole, bare, strict=True))
+
+
+def test_words_are_remembered_once():
+    """A word chunk of the word file is its own entry, not a piece's as well; ids stay the library's."""
+    from tremor.llm.tokens import AMPLE
+
+    encoder = Encoder(tokenizer_path(WORD), AMPLE)
+    text = "Alpha beta alpha, beta. gamma BETA 12 don't alpha"
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library_ids(WORD, text, 0)[:-1]
+    assert "alpha" in encoder.inner and not {"alpha", "beta", "gamma"} & encoder.pieces.keys()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([0, 5, 255, 256, 65_535, 65_536, 1 << 24, (1 << 32) - 1]), max_size=9), min_size=1, max_size=6))
+def test_rank_code_round_trip_with_empty_documents(docs):
+    ranks, counts = np.array([r for d in docs for r in d], dtype="<u4"), np.array([len(d) for d in docs])
+    control, control_ends, data, data_ends = token_file.encode_ranks(ranks, counts)
+    assert control_ends.tolist() == np.cumsum((counts + 3) // 4).tolist() and data_ends[-1] == len(data)
+    assert token_file.decode_ranks(control, data, counts).tolist() == ranks.tolist()

@@ -33,9 +33,8 @@ _SHARD = "shard int, doc_id long, local_start long, n_tokens long, control binar
 _READ = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 # Bytes of the four ids under each control byte.
-LENGTHS = np.array([[1 + (c >> (2 * i) & 3) for i in range(4)] for c in range(256)], dtype=np.int64)
-# What remains of four bytes read at an id's place, by its length.
-_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
+LENGTHS = np.array([[1 + (c >> (2 * i) & 3) for i in range(4)] for c in range(256)], dtype=np.uint8)
+_PLACES = np.arange(4, dtype=np.uint8)
 
 
 def _binary(data: bytes | np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -43,30 +42,35 @@ def _binary(data: bytes | np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def _used(counts: np.ndarray, control_ends: np.ndarray) -> np.ndarray:
+    """Which slots of the control bytes hold an id: all but up to three at a document's end."""
+    used = np.ones(4 * (int(control_ends[-1]) if len(counts) else 0), dtype=bool)
+    for back in range(1, 4):
+        used[(4 * control_ends - back)[-counts % 4 >= back]] = False
+    return used
+
+
 def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Control and data bytes of documents of ``counts`` ids, with the end of each document in either."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    code = (ranks > 0xFF).astype(np.uint8)
+    for bound in (0xFFFF, 0xFFFFFF):
+        code += ranks > bound
     ends, control_ends = np.cumsum(counts), np.cumsum((counts + 3) // 4)
-    shift = np.repeat(4 * np.concatenate([[0], control_ends[:-1]]) - (ends - counts), counts)
     slots = np.zeros(4 * (control_ends[-1] if len(counts) else 0), dtype=np.uint8)
-    slots[np.arange(len(ranks)) + shift] = code
-    control = slots.reshape(-1, 4) @ np.array([1, 4, 16, 64], dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
-    total = np.concatenate([[0], np.cumsum(code + np.int64(1))])
-    return control, control_ends, data, total[ends]
+    slots[_used(counts, control_ends)] = code
+    control = slots[0::4] | slots[1::4] << 2 | slots[2::4] << 4 | slots[3::4] << 6
+    data = ranks.view(np.uint8).reshape(-1, 4)[_PLACES <= code[:, None]]
+    total = np.concatenate([[0], np.cumsum(code, dtype=np.int64)])
+    return control, control_ends, data, total[ends] + ends
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Ranks of documents of ``counts`` ids whose streams stand end to end."""
-    per_doc = (counts + 3) // 4
-    slots = LENGTHS[control].reshape(-1)
-    first = 4 * (np.cumsum(per_doc) - per_doc) - (np.cumsum(counts) - counts)
-    lengths = slots[np.arange(counts.sum()) + np.repeat(first, counts)]
-    places = np.cumsum(lengths) - lengths
-    padded = np.concatenate([data, np.zeros(3, dtype=np.uint8)]).astype(np.uint32)
-    value = padded[places] | padded[places + 1] << 8 | padded[places + 2] << 16 | padded[places + 3] << 24
-    return value & _MASKS[lengths]
+    lengths = LENGTHS[control].reshape(-1)[_used(counts, np.cumsum((counts + 3) // 4))]
+    value = np.zeros((len(lengths), 4), dtype=np.uint8)
+    value[_PLACES < lengths[:, None]] = data
+    return value.view("<u4").reshape(-1)
 
 
 def _span(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

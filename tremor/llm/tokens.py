@@ -125,13 +125,20 @@ class Encoder:
 
     def chunk_ids(self, chunk: str) -> bytes:
         # A word, or a word and one mark: most chunks, and no rule is needed to tell their pieces.
-        if chunk.isascii():
+        if self.drops_spaces and chunk.isascii():
+            # Words are chunks themselves here, and remembered as such.
+            if chunk.isalpha():
+                low = chunk.lower()
+                return self.piece_ids(low) if low == chunk else self.inner[low]
+            if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+                return self.inner[chunk[:-1].lower()] + self.pieces[chunk[-1]]
+        elif chunk.isascii():
             word = chunk.lstrip(" ")
-            if len(chunk) - len(word) <= 1 - self.drops_spaces:
+            if len(chunk) - len(word) <= 1:
                 if word.isalpha():
-                    return self.pieces[chunk.lower() if self.lower else chunk]
+                    return self.pieces[chunk]
                 if word[-1:] in _MARKS and word[:-1].isalpha():
-                    return self.pieces[chunk[:-1].lower() if self.lower else chunk[:-1]] + self.pieces[chunk[-1]]
+                    return self.pieces[chunk[:-1]] + self.pieces[chunk[-1]]
         if _PLAIN.fullmatch(chunk) is None:
             return self.whole(chunk)
         if self.lower:
