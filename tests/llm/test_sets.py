@@ -7,11 +7,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from llm.edge import TEXTS, words
 from pyspark.sql import functions as F
 
 from conftest import SF
+from tremor.llm import jaccard
 from tremor.llm.components import components
 from tremor.llm.decontaminate import contamination, index, items, near
 from tremor.llm.exact_dedup import Directory, _owned_rows, bucketed, directory, exact_groups, owned
@@ -214,3 +216,49 @@ def test_proximity_matches(spark):
     postings = index(docs, tests.terms)
     assert {r["doc_id"] for r in near(tests.words, postings, 0).collect()} == {1}
     assert {r["doc_id"] for r in near(tests.words, postings, 3).collect()} == {1, 2}
+
+
+def test_facts_take_little_memory(spark):
+    """What a worker holds to hash a hand of texts and count its shingles is some ten times the text, and counts are of all shingles."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tremor.llm import common, shingles
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(200)]
+    shingles._powers.clear()
+    held = []
+
+    def captured(df, function, schema, tokens=False):
+        held.append(function)
+        return df
+
+    before, jaccard.mapped = jaccard.mapped, captured
+    try:
+        jaccard.facts(spark.createDataFrame([], "doc_id long, text string"), 5)
+    finally:
+        jaccard.mapped = before
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts})
+    tracemalloc.start()
+    rows = list(held[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    counts = np.concatenate([np.frombuffer(c, "<u4") for c in rows[-1].column("counts").to_pylist()])
+    assert counts.sum() == 200 * 496 and len(rows[-1]) == common.CHUNKS
+
+
+def test_batches_of_long_rows_are_closed_early(spark):
+    """A batch on its way to a task's Python is bounded in bytes, not in rows alone."""
+    import pyarrow as pa
+
+    from tremor.llm.common import BATCH_BYTES, mapped
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    docs = spark.range(1000).coalesce(1).select("id", F.expr("repeat('text ', 4000)").alias("text"))
+    got = mapped(docs, sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 1000 and max(r["bytes"] for r in got) < 2 * BATCH_BYTES

@@ -23,8 +23,10 @@ HAND_ROWS = 256
 HAND_CHARS = 2_000_000
 # Rows of an Arrow batch on its way to a task's Python and back.
 BATCH_ROWS = 2_000
+# Bytes after which a batch on its way to Python is closed early.
+BATCH_BYTES = 2 << 20
 # Seconds without a task after which a worker forgets what it remembers of tokens.
-IDLE = 10.0
+IDLE = 3.0
 # Parts of an array of counts that travel as rows of their own.
 CHUNKS = 64
 
@@ -75,7 +77,7 @@ def mapped(df: DataFrame, function: Callable, schema: str | StructType, tokens:
             _waiting[-1].daemon = True
             _waiting[-1].start()
 
-    arrow_rows(df.sparkSession, BATCH_ROWS)
+    arrow_rows(df.sparkSession, BATCH_ROWS).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 

@@ -70,7 +70,7 @@ def facts(docs: DataFrame, words: int) -> DataFrame:
         for batch in hands(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             found = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counts += np.bincount((found >> shift).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            np.add.at(counts, found >> shift, np.uint32(1))
             keys = [set_key(s) for s in sets]
             nothing = [None] * len(sets)
             yield record(_FACT_SCHEMA, doc_id=batch.column("doc_id"), n=[len(s) for s in sets], key1=[k[0] for k in keys],

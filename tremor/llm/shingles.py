@@ -10,8 +10,8 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PLACES = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3,
                     0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
-# Bytes hashed at once, and the powers that go with them.
-SEGMENT = 1 << 20
+# Bytes hashed at once, and the powers that go with them: some forty bytes of memory for each.
+SEGMENT = 1 << 17
 _powers: list[np.ndarray] = []
 
 
