@@ -9,6 +9,9 @@ A null text counts as empty.  Language identification rejects both, as it does t
 the stages after it would keep one empty text, and every row without a passage of the benchmark.  An empty
 table passes through all stages.  Further columns are carried along, whatever their names; a stage's own
 columns take names that are free.
+
+What a stage writes to reach its decision is deleted once the decision is written.  The rows with their
+keys, and the keys of the rows that go, stay for the frame that the stage returns.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tremor.llm import decontaminate, exact_dedup, jaccard, language, packing
 from tremor.llm.common import keyed, table, tokenizer_path
-from tremor.session import written
+from tremor.session import outcome, written
 
 # A document is rejected if its language is unknown or the prediction is less likely than this.
 LEAST_SCORE = 0.3
@@ -57,24 +60,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that of the smallest doc_id."""
     rows = rowed(docs)
-    groups = exact_dedup.exact_groups(by_row(rows)).filter("group_size > 1").select("doc_id", F.col("keep_id").alias("group"))
-    return without(rows, others(rows, groups))
+
+    def gone() -> DataFrame:
+        groups = exact_dedup.exact_groups(by_row(rows)).filter("group_size > 1").select("doc_id", F.col("keep_id").alias("group"))
+        return others(rows, groups)
+
+    return without(rows, outcome(spark, "gone", gone))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest doc_id of each component of similar documents."""
     rows = rowed(docs)
-    found = jaccard.jaccard_components(by_row(rows))
-    several = found.filter("component_id <> doc_id").select("doc_id", F.col("component_id").alias("group"))
-    groups = several.unionByName(several.select(F.col("group").alias("doc_id"), "group").distinct())
-    return without(rows, others(rows, groups))
+
+    def gone() -> DataFrame:
+        found = jaccard.jaccard_components(by_row(rows))
+        several = found.filter("component_id <> doc_id").select("doc_id", F.col("component_id").alias("group"))
+        groups = several.unionByName(several.select(F.col("group").alias("doc_id"), "group").distinct())
+        return others(rows, groups)
+
+    return without(rows, outcome(spark, "gone", gone))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     rows = rowed(docs)
-    gone = decontaminate.contamination(by_row(rows), table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return without(rows, gone)
+
+    def gone() -> DataFrame:
+        return decontaminate.contamination(by_row(rows), table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
+
+    return without(rows, outcome(spark, "gone", gone))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF
+from tremor import session
 from tremor.llm import language, quality_rank
 from tremor.llm.boosting import boost, calibrate
+from tremor.session import outcome, work_area, written
 
 
 def test_language_held_out_accuracy(spark):
@@ -216,6 +219,44 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     assert n not in kept and n + 2 not in kept and {n + 1, n + 3} <= set(kept)
 
 
+@pytest.fixture
+def shared(tmp_path, monkeypatch):
+    """A shared folder of the test's own."""
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    (tmp_path / "shared").mkdir()
+    return lambda: sorted(p.name.rpartition("-")[0] for p in (tmp_path / "shared").iterdir())
+
+
+def test_pipeline_deletes_what_its_decisions_took(spark, tmp_path, shared):
+    """Of all tables that a stage writes, those that its frame reads are left: whole rows once, and keys of rows."""
+    from llm.edge import words
+
+    texts = [words(60, 500 + k) for k in range(6)]
+    spark.createDataFrame([(1, words(25, 600))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0], texts[1] + " more"])), "doc_id long, text string")
+    tables = []
+    for name, kept in (("exact_dedup", 7), ("near_dedup", 6), ("decontamination", 8)):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        tables = sorted([*tables, "gone", "ids", "rows"])
+        assert shared() == tables
+        assert out.count() == kept
+
+
+def test_work_area_ends_with_its_tables(spark, shared):
+    """Areas may lie in one another, and go when something fails, too; paths named outside stay."""
+    stays = written(spark.range(3), "stays")
+
+    def made():
+        held = outcome(spark, "inner", lambda: written(spark.range(5), "first").filter("id > 1"))
+        assert held.count() == 3 and len(shared()) == 2
+        return held.join(stays, "id")
+
+    assert [r["id"] for r in outcome(spark, "outer", made).collect()] == [2]
+    with pytest.raises(ZeroDivisionError), work_area(spark):
+        written(spark.range(1), "lost").filter(str(1 // 0))
+    assert shared() == ["outer", "stays"]
+
+
 def test_pipeline_stages_on_edges(spark, edges, none, tmp_path):
     """Nulls, empty and long texts, repeated rows and columns of the stages' own names; and no rows at all."""
     spark.createDataFrame([(1, "some words that no text here holds at all, ten or more")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
