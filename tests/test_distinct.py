@@ -34,3 +34,12 @@ def test_levels_and_batches_fold(spark, batch):
     for keys in levels:
         mine = {tuple(r[k] for k in keys): tuple(r[f"{d}__n"] for d in details) for r in got if r["level"] == len(keys)}
         assert mine == plain(odd, keys)
+
+
+def test_a_value_takes_one_word(spark):
+    """What a fine group of one value takes does not grow with the dictionary; the highest bit of a word counts too."""
+    df = spark.range(1_000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("x"))
+    maps = bitmaps(df, ["k"], ["x"], dictionary(df, ["x"]))
+    assert dict(maps.dtypes)["bitmap"] == "bigint" and maps.count() == 1_000
+    assert [r["x__n"] for r in counted(maps, ["k"], ["x"]).collect()] == [1] * 1_000
+    assert counted(folded(maps, []), [], ["x"]).first()[0] == 1_000

@@ -2,7 +2,8 @@
 
 A distinct count cannot be added up from one level to the next, a set of values can.  Every value of a
 detail dimension has a code from 1 on, written once (``dictionary``), and the values of a group are the
-bits of a bitmap, cut into buckets of 32 768 codes, of which a group has only those that it needs.  A coarser
+bits of a bitmap, cut into words of 64 codes, of which a group has only those that it needs: a fine group of
+few values takes no more rows than it has values, and a word is combined and counted as a number.  A coarser
 level is the union of the finer one's bitmaps, and so is a book of its batches, if they share a dictionary.
 Counts are exact; a null is a value like any other.
 """
@@ -18,6 +19,9 @@ from ..functions.text import as_text
 from ..session import small, written
 from .pivot import count_column
 
+# Codes in a bucket: the bits of a long.
+WORD = 64
+
 
 def dictionary(df: DataFrame, details) -> DataFrame:
     """``detail, value, code`` of every value of the given columns, written once; codes ascend with the values from 1.
@@ -37,22 +41,28 @@ def dictionary(df: DataFrame, details) -> DataFrame:
 
 
 def bitmaps(df: DataFrame, keys, details, codes: DataFrame) -> DataFrame:
-    """``*keys, detail, bucket, bitmap`` of every group.  ``codes`` is a dictionary that knows the values; it is broadcast while it is small."""
-    pair = F.explode(F.array(*[F.struct(F.lit(d).alias("name"), as_text(df, d).alias("v")) for d in details])).alias("p")
-    rows = df.select(*keys, pair).select(*keys, "p.*").distinct()
-    coded = rows.join(small(codes), (F.col("name") == F.col("detail")) & F.col("v").eqNullSafe(F.col("value")))
-    return coded.groupBy(*keys, "detail", F.expr("bitmap_bucket_number(code)").alias("bucket")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(code))").alias("bitmap"))
+    """``*keys, detail, bucket, bitmap`` of every group.  ``codes`` is a dictionary that knows the values; it is broadcast while it is small.
+
+    Details are written one after the other, so the disk on the way is that of one; ``df`` is read once for each.
+    """
+    return reduce(DataFrame.unionByName, [written(_words(df, keys, d, codes), "words") for d in details])
+
+
+def _words(df: DataFrame, keys, detail: str, codes: DataFrame) -> DataFrame:
+    rows = df.select(*keys, as_text(df, detail).alias("v")).distinct()
+    coded = rows.join(small(codes.where(F.col("detail") == detail)), F.col("v").eqNullSafe(F.col("value")))
+    return coded.groupBy(*keys, "detail", F.expr(f"code div {WORD}").alias("bucket")).agg(
+        F.expr(f"bit_or(shiftleft(1L, int(code % {WORD})))").alias("bitmap"))
 
 
 def folded(maps: DataFrame, keys) -> DataFrame:
     """The bitmaps of a coarser level, or of several frames put together: the union within each group."""
-    return maps.groupBy(*keys, "detail", "bucket").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
+    return maps.groupBy(*keys, "detail", "bucket").agg(F.expr("bit_or(bitmap)").alias("bitmap"))
 
 
 def counted(maps: DataFrame, keys, details) -> DataFrame:
     """``*keys`` and a count column for each detail, zero where a group has no value of it."""
-    sizes = maps.groupBy(*keys, "detail").agg(F.sum(F.expr("bitmap_count(bitmap)")).alias("n"))
+    sizes = maps.groupBy(*keys, "detail").agg(F.sum(F.expr("bit_count(bitmap)")).alias("n"))
     return sizes.groupBy(*keys).agg(*[
         F.coalesce(F.max(F.when(F.col("detail") == d, F.col("n"))), F.lit(0)).cast("long").alias(count_column(d)) for d in details])
 

@@ -13,6 +13,7 @@ from ..operators.pivot import (PivotRequest, cardinalities, distinct_values, nul
                                pivot_by, totals)
 from ..operators.rollup import rollups, serve_rollup
 from ..operators.templates import default_template, select_template
+from ..operators.valuation import value_batch
 from ..session import written
 from . import sql as Q
 from .book import GRID, batch, book
@@ -284,9 +285,11 @@ COUNTED = ("underlying", "contract", "strike", "expiry")
 
 def q_details_from_bitmaps(spark, d):
     """Distinct details of accounts, folded to masters, desks and firms without another look at the positions."""
-    b = book(spark, d).withColumn("expiry", F.when(F.col("is_option"), F.col("expiry")))
+    positions = book(spark, d).withColumn("expiry", F.when(F.col("is_option"), F.col("expiry")))
+    # Each detail is a pass over the book's texts.
+    b = written(positions.select(*dict.fromkeys((*ACCOUNT_DRILL, *COUNTED))), "book")
     codes = dictionary(b, COUNTED)
-    maps = written(bitmaps(b, ACCOUNT_DRILL, COUNTED, codes), "bitmaps")
+    maps = bitmaps(b, ACCOUNT_DRILL, COUNTED, codes)
     levels = [ACCOUNT_DRILL[:n] for n in (4, 3, 2, 1)]
     return rounded(level_counts(maps, levels, COUNTED))
 
@@ -383,7 +386,9 @@ WHERE (SELECT count(DISTINCT contract) FROM batch) <= 50000 OR dimension <> 'con
 
 
 def q_rollup_serve(spark, d):
-    stored = rollups(batch(spark, d), dimensions=("firm", "desk", "sector"))
+    # The passes of the rollups share one written book.
+    valued = value_batch(written(book(spark, d), "book"), GRID)
+    stored = rollups(valued, dimensions=("firm", "desk", "sector"))
     request = PivotRequest(("desk", "account"), measures=("delta", "vega"),
                            detail_dimensions=("sector", "firm"), sort=(("worst", False),), limit=10)
     served = serve_rollup(stored, ("firm", "desk", "sector"), request)
